@@ -54,7 +54,8 @@ def _fingerprints(df: DataFrame, keep: list[str], shorts: list[int], whole_short
     chosen = F.filter(F.sequence(F.lit(0), F.size("_g") - 1), lambda p: F.get("_g", p) == F.greatest(*[F.get("_low", F.when(p >= j, p - j)) for j in range(w)]))
     padded = F.concat(F.array_repeat(F.lit(None).cast("bigint"), side), F.col("_h"), F.array_repeat(F.lit(None).cast("bigint"), side))
     df = df.withColumn("_at", F.when(F.col("_g").isNotNull(), chosen)).withColumn("_pad", F.when(F.size("_at") > 0, padded))
-    parts = [F.coalesce(F.transform("_at", lambda p: F.struct(F.lit(WINDOW).alias("m"), p.alias("pos"), F.get("_g", p).alias("fp"), F.slice("_pad", p + 1, KGRAM + 2 * side).alias("ctx"))).cast(kind), F.array().cast(kind))]
+    # _pad is named twice so that the optimizer keeps it as a column and doesn't build it anew for each element.
+    parts = [F.coalesce(F.when(F.col("_pad").isNotNull(), F.transform("_at", lambda p: F.struct(F.lit(WINDOW).alias("m"), p.alias("pos"), F.get("_g", p).alias("fp"), F.slice("_pad", p + 1, KGRAM + 2 * side).alias("ctx")))).cast(kind), F.array().cast(kind))]
     none = F.lit(None).cast("array<bigint>")
     for m in shorts:
         fits = (F.col("n_words") == m) if whole_short else (F.col("n_words") >= m)

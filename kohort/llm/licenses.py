@@ -97,12 +97,12 @@ def oracle(templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float =
 WITH t(id, txt) AS (VALUES {values}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 tw AS (SELECT id, string_split({norm.format('txt')}, ' ') AS w FROM t),
-tg AS (SELECT id, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) AS g FROM tw),
+tg AS (SELECT id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM tw),
 tb AS (SELECT id, x AS gram, count(*) AS c, max(len(g)) AS n FROM tg, unnest(g) AS u(x) GROUP BY 1, 2),
 lines AS (SELECT r, p, line FROM docs, unnest(string_split(coalesce(text, ''), chr(10))) WITH ORDINALITY AS u(line, p) WHERE line <> ''),
 lw AS (SELECT r, p, string_split({norm.format('line')}, ' ') AS w FROM lines),
 ln AS (SELECT r, p, w, len(w) - 1 AS n FROM lw WHERE len(w) > 1 AND len(w) < 60),
-lb AS (SELECT r, p, x AS gram, count(*) AS c, max(n) AS n FROM (SELECT r, p, n, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) AS g FROM ln), unnest(g) AS u(x) GROUP BY 1, 2, 3),
+lb AS (SELECT r, p, x AS gram, count(*) AS c, max(n) AS n FROM (SELECT r, p, n, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM ln), unnest(g) AS u(x) GROUP BY 1, 2, 3),
 d AS (SELECT r, p, tb.id, 2.0 * sum(least(lb.c, tb.c)) / (max(lb.n) + max(tb.n)) AS score FROM lb JOIN tb USING (gram) GROUP BY 1, 2, 3),
 m AS (SELECT *, max(score) OVER (PARTITION BY r, p) AS best FROM d WHERE score >= {threshold}),
 a AS (SELECT r, count(DISTINCT p) AS n_matched, string_agg(DISTINCT id, ',' ORDER BY id) FILTER (score >= best) AS licenses, max(score) AS best_score FROM m GROUP BY 1),

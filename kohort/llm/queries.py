@@ -76,8 +76,8 @@ WITH s AS (
 m AS (SELECT a.pair_id, a.p FROM s a JOIN s b ON a.pair_id = b.pair_id AND a.p = b.p AND a.second = 0 AND b.second = 1 AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text),
 pre AS (SELECT pair_id, max(p) AS k FROM (SELECT pair_id, p, row_number() OVER (PARTITION BY pair_id ORDER BY p) AS r FROM m) WHERE p = r GROUP BY 1),
 x AS (SELECT s.*, coalesce(k, 0) AS k FROM s LEFT JOIN pre USING (pair_id)),
-y AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, second ORDER BY p) - length(body) AS at FROM x WHERE p > k),
-c AS (SELECT pair_id, second, string_agg(head || body, '' ORDER BY p) AS t, coalesce(string_agg(at || ':' || length(body), ';' ORDER BY p) FILTER (role = 'assistant'), '') AS mask FROM y GROUP BY 1, 2),
+y AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, second ORDER BY p) - length(body) AS head_end FROM x WHERE p > k),
+c AS (SELECT pair_id, second, string_agg(head || body, '' ORDER BY p) AS t, coalesce(string_agg(head_end || ':' || length(body), ';' ORDER BY p) FILTER (role = 'assistant'), '') AS mask FROM y GROUP BY 1, 2),
 q AS (SELECT pair_id, max(k) AS k, count(*) FILTER (second = 0) > 0 AS ha, count(*) FILTER (second = 1) > 0 AS hb, coalesce(string_agg(head || body, '' ORDER BY p) FILTER (p <= k AND second = 0), '') AS prompt FROM x GROUP BY 1)
 SELECT pair_id, CAST(k AS BIGINT) AS prefix_turns, prompt, CASE WHEN ha THEN coalesce(a.t, '') END AS chosen, CASE WHEN hb THEN coalesce(b.t, '') END AS rejected,
        CASE WHEN ha THEN coalesce(a.mask, '') END AS chosen_mask, CASE WHEN hb THEN coalesce(b.mask, '') END AS rejected_mask, ha AND hb AS complete
