@@ -6,12 +6,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW = 10  # words of a window
 KGRAM = 6  # words of a fingerprint; WINDOW - KGRAM + 1 fingerprints in a row share a window
 #: Fingerprint rows of the benchmark (about 300 bytes each) up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
 
+#: A window length, the position of a fingerprint, and the word hashes around it.
+PRINT = T.StructType([T.StructField("m", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("ctx", T.ArrayType(T.LongType()))])
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words once A-Z are lower case.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,7 +49,7 @@ def _fingerprints(df: DataFrame, keep: list[str], shorts: list[int], whole_short
     window that is a whole short item, and ctx is null.
     """
     w, side = WINDOW - KGRAM + 1, WINDOW - KGRAM
-    kind = "array<struct<m:int,pos:int,fp:bigint,ctx:array<bigint>>>"
+    kind = T.ArrayType(PRINT)
     df = df.select(*keep, word_hashes(F.col("text")).alias("_h"))
     df = df.withColumn("n_words", F.size("_h"))
     df = df.withColumn("_g", F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.col("n_words") - KGRAM), lambda i: _gram(F.col("_h"), i, KGRAM))))
@@ -56,7 +60,7 @@ def _fingerprints(df: DataFrame, keep: list[str], shorts: list[int], whole_short
     df = df.withColumn("_at", F.when(F.col("_g").isNotNull(), chosen)).withColumn("_pad", F.when(F.size("_at") > 0, padded))
     # _pad is named twice so that the optimizer keeps it as a column and doesn't build it anew for each element.
     parts = [F.coalesce(F.when(F.col("_pad").isNotNull(), F.transform("_at", lambda p: F.struct(F.lit(WINDOW).alias("m"), p.alias("pos"), F.get("_g", p).alias("fp"), F.slice("_pad", p + 1, KGRAM + 2 * side).alias("ctx")))).cast(kind), F.array().cast(kind))]
-    none = F.lit(None).cast("array<bigint>")
+    none = F.lit(None).cast(T.ArrayType(T.LongType()))
     for m in shorts:
         fits = (F.col("n_words") == m) if whole_short else (F.col("n_words") >= m)
         grams = F.transform(F.sequence(F.lit(0), F.col("n_words") - m), lambda i, m=m: F.struct(F.lit(m).alias("m"), i.alias("pos"), _gram(F.col("_h"), i, m).alias("fp"), none.alias("ctx")))
@@ -84,16 +88,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep_row: bool = False)
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     lengths = bench.select(F.size(word_hashes(F.col("text"))).alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct()
     shorts = sorted(r.n for r in lengths.collect())  # nine values at most
-    prints = _fingerprints(bench, ["item"], shorts, True).select("item", F.explode("fps").alias("f"))
+    # explode_outer: a plain explode would have its argument pushed down as a filter, through all the steps above.
+    prints = _fingerprints(bench, ["item"], shorts, True).select("item", F.explode_outer("fps").alias("f")).where(F.col("f").isNotNull())
     prints = prints.groupBy(F.col("f.m").alias("bm"), F.col("f.fp").alias("bfp"), F.col("f.ctx").alias("bctx")).agg(F.collect_set("item").alias("items"))
     small = prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     base = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
     marked = _fingerprints(base, ["_row", "doc_id"], shorts, False)
-    kind = "struct<m:int,pos:int,fp:bigint,ctx:array<bigint>>"
     # One element more for each row keeps rows without a hit through the join.
-    own = F.struct(F.lit(0).alias("m"), F.lit(-1).alias("pos"), F.xxhash64(F.col("_row")).alias("fp"), F.lit(None).cast("array<bigint>").alias("ctx")).cast(kind)
-    rows = marked.select("_row", "doc_id", "n_words", F.explode(F.concat(F.array(own), "fps")).alias("f")).select("_row", "doc_id", "n_words", F.col("f.m").alias("m"), F.col("f.pos").alias("pos"), F.col("f.fp").alias("fp"), F.col("f.ctx").alias("ctx"))
+    own = F.struct(F.lit(0).alias("m"), F.lit(-1).alias("pos"), F.xxhash64(F.col("_row")).alias("fp"), F.lit(None).cast(T.ArrayType(T.LongType())).alias("ctx")).cast(PRINT)
+    rows = marked.select("_row", "doc_id", "n_words", F.explode_outer(F.concat(F.array(own), "fps")).alias("f")).select("_row", "doc_id", "n_words", F.col("f.m").alias("m"), F.col("f.pos").alias("pos"), F.col("f.fp").alias("fp"), F.col("f.ctx").alias("ctx"))
     met = rows.join(F.broadcast(prints) if small else prints, (F.col("fp") == F.col("bfp")) & (F.col("m") == F.col("bm")), "left").where((F.col("pos") < 0) | F.col("bfp").isNotNull())
 
     side = WINDOW - KGRAM
