@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 10  # words of a window
-KGRAM = 6  # words of a fingerprint; WINDOW - KGRAM + 1 fingerprints in a row share a window
+KGRAM = 4  # words of a fingerprint; WINDOW - KGRAM + 1 fingerprints in a row share a window
 #: Fingerprint rows of the benchmark (about 300 bytes each) up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
 
+EDGES = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
+
 #: A window length, the position of a fingerprint, and the word hashes around it.
 PRINT = T.StructType([T.StructField("m", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("ctx", T.ArrayType(T.LongType()))])
 
@@ -27,39 +29,47 @@ def ascii_lower(text: Column) -> Column:
 
 
 def word_hashes(text: Column) -> Column:
-    return F.transform(F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), lambda w: w != ""), lambda w: F.xxhash64(w))
+    """xxhash64 of each word. Gaps at the ends are trimmed first, so that only a text without words leaves an empty piece."""
+    pieces = F.split(F.trim(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(EDGES)), GAP)
+    return F.when(F.get(pieces, F.lit(0)) != "", F.transform(pieces, lambda w: F.xxhash64(w))).otherwise(F.array().cast(T.ArrayType(T.LongType())))
 
 
 def _gram(h: Column, at: Column, n: int) -> Column:
     return F.xxhash64(F.lit(n), *[F.get(h, at + j) for j in range(n)])
 
 
-def _winnowed(h: str, g: str) -> Column:
-    """Positions whose fingerprint is the least of some WINDOW-KGRAM+1 fingerprints in a row (all of equal ones)."""
-    w = WINDOW - KGRAM + 1
-    last = F.size(g) - w
-    lows = F.transform(F.sequence(F.lit(0), last), lambda s: F.least(*[F.get(g, s + j) for j in range(w)]))
-    return F.when(last >= 0, lows)
+def _winnowed(g: str, own: Column, p: Column) -> Column:
+    """Whether the fingerprint own at p is the least of some WINDOW-KGRAM+1 fingerprints in a row (all of equal ones count).
+
+    That is so if enough neighbours on both sides together, up to the first lesser one or the end, are not lesser.
+    """
+    side = WINDOW - KGRAM
+
+    def run(step: int) -> Column:
+        out = F.lit(side)
+        for j in range(side, 0, -1):
+            out = F.when(F.coalesce(F.get(g, p + step * j) >= own, F.lit(False)), out).otherwise(j - 1)
+        return out
+
+    return run(-1) + run(1) >= side
 
 
 def _fingerprints(df: DataFrame, keep: list[str], shorts: list[int], whole_short: bool) -> DataFrame:
     """Add ``n_words`` and ``fps``: array of ``(m, pos, fp, ctx)``.
 
-    m is WINDOW for winnowed k-grams, with ctx the word hashes from four before to four after; else m is the length of a
+    m is WINDOW for winnowed k-grams, with ctx the word hashes from WINDOW-KGRAM before to as many after; else m is the length of a
     window that is a whole short item, and ctx is null.
     """
-    w, side = WINDOW - KGRAM + 1, WINDOW - KGRAM
+    side = WINDOW - KGRAM
     kind = T.ArrayType(PRINT)
     df = df.select(*keep, word_hashes(F.col("text")).alias("_h"))
     df = df.withColumn("n_words", F.size("_h"))
     df = df.withColumn("_g", F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.col("n_words") - KGRAM), lambda i: _gram(F.col("_h"), i, KGRAM))))
-    df = df.withColumn("_low", _winnowed("_h", "_g"))
-    # A k-gram is kept if it equals the greatest of the window minima around it.
-    chosen = F.filter(F.sequence(F.lit(0), F.size("_g") - 1), lambda p: F.get("_g", p) == F.greatest(*[F.get("_low", F.when(p >= j, p - j)) for j in range(w)]))
     padded = F.concat(F.array_repeat(F.lit(None).cast("bigint"), side), F.col("_h"), F.array_repeat(F.lit(None).cast("bigint"), side))
-    df = df.withColumn("_at", F.when(F.col("_g").isNotNull(), chosen)).withColumn("_pad", F.when(F.size("_at") > 0, padded))
+    df = df.withColumn("_pad", F.when(F.col("_g").isNotNull(), padded))
     # _pad is named twice so that the optimizer keeps it as a column and doesn't build it anew for each element.
-    parts = [F.coalesce(F.when(F.col("_pad").isNotNull(), F.transform("_at", lambda p: F.struct(F.lit(WINDOW).alias("m"), p.alias("pos"), F.get("_g", p).alias("fp"), F.slice("_pad", p + 1, KGRAM + 2 * side).alias("ctx")))).cast(kind), F.array().cast(kind))]
+    found = F.transform("_g", lambda x, p: F.when(_winnowed("_g", x, p), F.struct(F.lit(WINDOW).alias("m"), p.alias("pos"), x.alias("fp"), F.slice("_pad", p + 1, KGRAM + 2 * side).alias("ctx"))))
+    parts = [F.coalesce(F.when(F.col("_pad").isNotNull(), F.filter(found, lambda x: x.isNotNull())).cast(kind), F.array().cast(kind))]
     none = F.lit(None).cast(T.ArrayType(T.LongType()))
     for m in shorts:
         fits = (F.col("n_words") == m) if whole_short else (F.col("n_words") >= m)
@@ -78,7 +88,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep_row: bool = False)
 
     docs: ``doc_id, text``; benchmark: ``item_id, text``. A window is WINDOW consecutive words of an item, or a shorter
     item as a whole; a document word inside any occurrence of a window is hit. Winnowing guarantees that a shared window
-    holds a shared fingerprint; each such hit is extended four words to either side by word hashes (64 bits a word) and
+    holds a shared fingerprint; each such hit is extended by WINDOW-KGRAM words to either side by word hashes (64 bits a word) and
     counts if WINDOW words agree. Null or word-less texts have no words; items with a null id count under the name ''
     only if no other row has it; a repeated doc_id gives a row for each input row; repeated items count once by item_id.
 
