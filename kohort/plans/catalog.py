@@ -1,19 +1,336 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables, one for each operator family, and the same in DuckDB's SQL.
+
+Vectors: embeddings, with the first half of a vector as the text route and the second as the event route; label is the
+gold event. Cases: documents with their labels. Large partitions: orders. Directed scores: lineitem.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kohort.functions import scalars as S
+from kohort.operators import graph, linkage, metrics, models, pairs, recall, validation, views
+from kohort.plans import workflows
+from kohort.session import cut, table
+from kohort.streaming import incremental
+
+K, THETA, HALF = 20, 0.5, 32
+KS = [1, 5, 10, 20]
+WEIGHTS = np.array([1.0, 2.0, -1.5])
+
+
+def _routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    return e.select("id", F.slice("embedding", 1, HALF).alias("vec")), e.select("id", F.slice("embedding", HALF + 1, HALF).alias("vec"))
+
+
+def _knn(spark, d, event=False):
+    v = _routes(spark, d)[event]
+    return recall.knn(v, v, K)
+
+
+def _merged(spark, d, mode="max"):
+    return recall.merge_routes(_knn(spark, d), _knn(spark, d, True), mode)
+
+
+def _gold(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("report_id"), F.col("label").cast("string").alias("gold"))
+
+
+def _directed(spark, d):
+    m = _merged(spark, d)
+    return graph.directed_scores(m.select("query_id", "candidate_id", F.col("score_fuse").alias("probability")), lenient=True)
+
+
+def _edges(spark, d, rule="mutual"):
+    return graph.undirected_edges(_directed(spark, d), rule)
+
+
+def _nodes(spark, d):
+    return _routes(spark, d)[0].select(F.col("id").alias("node"))
+
+
+def _clusters(spark, d):
+    return linkage.complete_linkage(_nodes(spark, d), cut(_edges(spark, d)), THETA)
+
+
+def _r(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def _big(spark, d):
+    """A partition of orders by customer against one by customer group and priority."""
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("gold")), o.select(F.col("o_orderkey").alias("report_id"), F.expr("o_custkey div 3 * 10 + cast(substring(o_orderpriority, 1, 1) as int)").alias("pred"))
+
+
+def _table(spark, d):
+    return metrics.contingency(*_big(spark, d), strict=False)
+
+
+def _cases(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return docs.join(labels, "doc_id", "left").select("doc_id", "text", *[S.category(c).alias(c) for c in ("lang", "source", "quality", "toxic")])
+
+
+def _pairs(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").alias("incident"))
+    return pairs.build_pairs(_merged(spark, d), e, e.where("incident < 6").select("incident"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Recall on two routes, fusion, mutual edges, complete linkage, and B-cubed against the labels."""
+    pred = _clusters(spark, sf_dir).select(F.col("node").alias("report_id"), F.col("cluster").alias("pred"))
+    return metrics.b_cubed(metrics.contingency(_gold(spark, sf_dir), pred))
+
+
+def q_wide(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("kind"), F.slice("embedding", 1, HALF).alias("head"), F.slice("embedding", HALF + 1, HALF).alias("tail"))
+    p = _merged(spark, d).where("rank <= 5").select("query_id", "candidate_id")
+    return pairs.wide_features(p, e, ("kind",), ("head", "tail"), dim=HALF)
+
+
+def q_scored(spark, d):
+    out = models.predict(q_wide(spark, d), {"wide_w": WEIGHTS, "wide_b": -0.5}, ["eq_kind", "sim_head", "sim_tail"])
+    return _r(out, "probability").drop("prediction")
+
+
+def q_views(spark, d):
+    c = table(spark, d, "documents")
+    return c.select("doc_id", S.clip("text", 100).alias("clipped"), views.text_view(F.col("source"), F.col("text"), 200, 300).alias("text_view"), views.event_view({"Title": F.col("source"), "Subject": F.col("lang"), "Result": F.col("text")}, 250).alias("event_view"), F.coalesce(S.strip(F.col("text")), F.lit("")).alias("whole"))
+
+
+def q_linkage_check(spark, d):
+    e = cut(_edges(spark, d))
+    return linkage.clique_violations(linkage.complete_linkage(_nodes(spark, d), e, THETA), e, THETA).select("violations")
+
+
+def q_components(spark, d):
+    return graph.components(_nodes(spark, d), graph.threshold_edges(_edges(spark, d), THETA))
+
+
+def q_ranking(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "label")
+    m = cut(_merged(spark, d))
+    same = m.join(e.select(F.col("id").alias("query_id"), F.col("label").alias("lq")), "query_id").join(e.select(F.col("id").alias("candidate_id"), "label"), "candidate_id").where("lq = label")
+    return _r(recall.ranking_metrics(m, same.select("query_id", "candidate_id"), KS), "recall", "hit", "mrr")
+
+
+def q_summary(spark, d):
+    return _r(metrics.partition_summary(_table(spark, d)), "singleton_ratio", "max_cluster_frac")
+
+
+def q_hungarian(spark, d):
+    o = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n")).select(F.col("o_orderstatus").alias("gold"), F.col("o_orderpriority").alias("pred"), "n")
+    return _r(metrics.hungarian(o), "g2p", "p2g", "symmetric")
+
+
+def q_classify(spark, d):
+    p = table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("probability"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    return _r(metrics.pair_classification(p), "accuracy", "precision_pos", "recall_pos", "f1_pos", "macro_f1")
+
+
+def q_folds(spark, d):
+    rows = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("price"), F.count("*").cast("double").alias("orders"))
+    return _r(metrics.fold_summary(rows, ["price", "orders"]), "mean", "std")
+
+
+def q_first_wins(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", "o_orderstatus")
+    return incremental.add_first_wins(o.where("o_orderstatus = 'P'").select("id"), o.where("o_orderstatus <> 'P'").select("id", "o_orderkey"))
+
+
+def q_last_wins(spark, d):
+    return incremental.upsert_last_wins(table(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+def q_dedupe(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("candidate_id"), (F.col("l_tax") + F.col("l_discount")).alias("probability"))
+    return _r(graph.directed_scores(rows), "score")
+
+
+def q_vocab(spark, d):
+    return pairs.vocabulary(_cases(spark, d), ["lang", "source", "quality", "toxic"])
+
+
+def q_sample(spark, d):
+    return _r(pairs.sample_training(_pairs(spark, d)).select("query_id", "candidate_id", "label", "score_fuse"), "score_fuse")
+
+
+def q_pairs(spark, d):
+    return _r(_pairs(spark, d).select("query_id", "candidate_id", "label", "score_fuse", "score_text_norm", "score_event_norm", "score_fuse_norm"), "score_fuse", "score_text_norm", "score_event_norm", "score_fuse_norm")
+
+
+def q_domain(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+    b = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"))
+    return validation.domain_difference(a, b, "id")
+
+
+def q_duplicates(spark, d):
+    return validation.duplicate_ids(table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("id")), "id")
+
+
+def q_canonical(spark, d):
+    return validation.canonical_partition(table(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("cluster_id")))
+
+
+def q_splits(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("incident_id"))
+    s = c.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("not (incident_id % 100 = 7 and fold = 2)")
+    s = s.withColumn("split", F.expr("case when incident_id % 5 = fold then 'test' when incident_id % 5 = (fold + 1) % 5 then 'dev' else 'train' end"))
+    return validation.split_violations(s)
+
+
+def q_subset(spark, d):
+    keep = table(spark, d, "embeddings").where("label < 3").select(F.col("vec_id").cast("string").alias("id"))
+    m = _merged(spark, d).where("rank <= 10")
+    out = m.join(keep.select(F.col("id").alias("query_id")), "query_id", "left_semi").join(keep.select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi")
+    return out.select("query_id", "candidate_id", F.col("rank").cast("long").alias("rank"))
+
+
+def q_json(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", F.coalesce(*[F.get_json_object("props", f"$.{k}") for k in ("query_id", "k", "page", "id")]).alias("first"))
+
+
+def q_theta(spark, d):
+    scores = cut(_merged(spark, d)).select("query_id", "candidate_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score_fuse"))).alias("probability"))
+    return _r(workflows.theta_table(_gold(spark, d), scores, S.theta_grid(0.5, 0.9, 0.1)), "pair_f1", "b_cubed_f1")
+
+
+def q_setops(spark, d):
+    a, b = table(spark, d, "customer").select(F.col("c_nationkey").cast("int").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").cast("int").alias("k"))
+    tag = lambda df, x: df.select("k", F.lit(x).alias("op"))
+    return tag(a.union(b).distinct(), "union").union(tag(a.intersect(b), "intersect")).union(tag(a.exceptAll(b).distinct(), "except all"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    score = lambda df: _r(df.select("query_id", "candidate_id", "score", F.col("rank").cast("long").alias("rank")), "score")
+    fused = lambda m: lambda s, d: _r(_merged(s, d, m).select("query_id", "candidate_id", "score_fuse", "in_text", "in_event"), "score_fuse")
+    edges = lambda rule: lambda s, d: _r(_edges(s, d, rule), "w")
+    return {
+        "flagship_bcubed": lambda s, d: _r(flagship(s, d), "precision", "recall", "f1"),
+        "knn_text": lambda s, d: score(_knn(s, d)),
+        "knn_event": lambda s, d: score(_knn(s, d, True)),
+        "knn_approximate": lambda s, d: recall.knn_approximate(_routes(s, d)[0], _routes(s, d)[0], K),
+        **{f"recall_fused_{m}": fused(m) for m in ("max", "mean", "wavg", "maxmin")},
+        "ranking_metrics": q_ranking,
+        "directed_dedupe": q_dedupe,
+        "edges_mutual": edges("mutual"),
+        "edges_either": edges("either"),
+        "components": q_components,
+        "complete_linkage": _clusters,
+        "clique_violations": q_linkage_check,
+        "theta_scan": q_theta,
+        "contingency": _table,
+        "pairwise_metrics": lambda s, d: _r(metrics.pairwise(_table(s, d)), "precision", "recall", "f1"),
+        "b_cubed": lambda s, d: _r(metrics.b_cubed(_table(s, d)), "precision", "recall", "f1"),
+        "adjusted_rand": lambda s, d: _r(metrics.adjusted_rand(_table(s, d)), "ari"),
+        "mutual_information": lambda s, d: _r(metrics.mutual_information(_table(s, d)), "nmi"),
+        "hungarian": q_hungarian,
+        "partition_summary": q_summary,
+        "pair_classification": q_classify,
+        "fold_summary": q_folds,
+        "pair_table": q_pairs,
+        "hard_negatives": q_sample,
+        "wide_features": lambda s, d: _r(q_wide(s, d), "sim_head", "sim_tail"),
+        "pair_scores": q_scored,
+        "category_vocabulary": q_vocab,
+        "category_tokens": lambda s, d: _cases(s, d).drop("text"),
+        "case_views": q_views,
+        "gold_partition": lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("size"), F.concat_ws(",", F.array_sort(F.collect_list("o_orderkey")).cast("array<string>")).alias("members")),
+        "domain_difference": q_domain,
+        "duplicate_ids": q_duplicates,
+        "canonical_partition": q_canonical,
+        "split_violations": q_splits,
+        "fold_subset": q_subset,
+        "set_operations": q_setops,
+        "json_alias_scan": q_json,
+        "incremental_first_wins": q_first_wins,
+        "upsert_last_wins": q_last_wins,
+    }
+
+
+# SQL ------------------------------------------------------------------------------------------------------------------
+
+_V = f"v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding[1:{HALF}] AS DOUBLE[]) AS t, CAST(embedding[{HALF + 1}:] AS DOUBLE[]) AS e, label FROM embeddings)"
+
+
+def _sql_knn(col: str, name: str) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT query_id, candidate_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM (SELECT a.id AS query_id, b.id AS candidate_id, round(list_cosine_similarity(a.{col}, b.{col}), 12) AS score FROM v a, v b)) WHERE rank <= {K})"
+
+
+def _sql_merged(mode: str = "max") -> str:
+    a, b = "x.score", "y.score"
+    fuse = {"max": f"greatest({a}, {b})", "mean": f"({a} + {b}) / 2", "wavg": f"{a} * 0.5 + {b} * 0.5", "maxmin": f"greatest({a}, {b}) + 0.2 * least({a}, {b})"}[mode]
+    fuse = f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {fuse} ELSE coalesce({a}, {b}) END"
+    inner = f"SELECT query_id, candidate_id, x.score AS st, y.score AS se, x.rank AS rt, y.rank AS re, {fuse} AS f FROM kt x FULL JOIN ke y USING (query_id, candidate_id) WHERE query_id <> candidate_id"
+    return f"{_V}, {_sql_knn('t', 'kt')}, {_sql_knn('e', 'ke')}, mg AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, rt ASC NULLS LAST, re ASC NULLS LAST, candidate_id) AS rank FROM ({inner}))"
+
+
+_EDGES = _sql_merged() + ", ds AS (SELECT query_id AS src, candidate_id AS dst, greatest(0, least(1, f)) AS s FROM mg), ug AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, min(s) AS lo, max(s) AS hi, count(*) AS n FROM ds GROUP BY 1, 2)"
+_PAIRS = _sql_merged() + """, pr AS (SELECT m.*, CAST(q.label = c.label AS INT) AS label, min(coalesce(st, 0)) OVER w AS t0, max(coalesce(st, 0)) OVER w AS t1, min(coalesce(se, 0)) OVER w AS e0, max(coalesce(se, 0)) OVER w AS e1, min(f) OVER w AS f0, max(f) OVER w AS f1, q.label AS ql, c.label AS cl
+ FROM mg m JOIN v q ON q.id = query_id JOIN v c ON c.id = candidate_id WHERE rank <= 200 WINDOW w AS (PARTITION BY query_id)), ok AS (SELECT * FROM pr WHERE ql < 6 AND cl < 6)"""
+_WIDE = _sql_merged() + ", wf AS (SELECT query_id, candidate_id, CAST(q.label = c.label AS DOUBLE) AS eq_kind, list_cosine_similarity(q.t, c.t) AS sim_head, list_cosine_similarity(q.e, c.e) AS sim_tail FROM mg JOIN v q ON q.id = query_id JOIN v c ON c.id = candidate_id WHERE rank <= 5)"
+_T = "t AS (SELECT o_custkey AS gold, o_custkey // 3 * 10 + CAST(left(o_orderpriority, 1) AS INT) AS pred, count(*) AS n FROM orders GROUP BY 1, 2), a AS (SELECT gold, sum(n) AS a FROM t GROUP BY 1), b AS (SELECT pred, sum(n) AS b FROM t GROUP BY 1), tp AS (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS tp FROM t), ga AS (SELECT CAST(sum(a * (a - 1) // 2) AS BIGINT) AS ga FROM a), pb AS (SELECT CAST(sum(b * (b - 1) // 2) AS BIGINT) AS pb FROM b)"
+_CAT = "coalesce(nullif(trim({0}), ''), '__MISSING__')"
+_CASES = "c AS (SELECT doc_id, " + ", ".join(_CAT.format(f"CAST({x} AS VARCHAR)") + f" AS {x}" for x in ("lang", "source", "quality", "toxic")) + " FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+def _sql_hungarian() -> str:
+    """Three statuses against five priorities: all injections of the statuses."""
+    return """WITH t AS (SELECT o_orderstatus AS g, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1, 2), a AS (SELECT g, sum(n) AS a FROM t GROUP BY 1), b AS (SELECT p, sum(n) AS b FROM t GROUP BY 1),
+s AS (SELECT g, p, coalesce(2.0 * n / (a + b), 0) AS f FROM a CROSS JOIN b LEFT JOIN t USING (g, p)), g AS (SELECT g, row_number() OVER (ORDER BY g) AS i FROM a),
+m AS (SELECT max(x.f + y.f + z.f) AS s FROM s x JOIN s y ON x.p <> y.p JOIN s z ON z.p <> x.p AND z.p <> y.p WHERE x.g = (SELECT g FROM g WHERE i = 1) AND y.g = (SELECT g FROM g WHERE i = 2) AND z.g = (SELECT g FROM g WHERE i = 3))
+SELECT round(s / 3, 6) AS g2p, round(s / 5, 6) AS p2g, round((s / 3 + s / 5) / 2, 6) AS symmetric, CAST(3 AS BIGINT) AS matched, CAST(0 AS BIGINT) AS unmatched_gold, CAST(2 AS BIGINT) AS unmatched_pred FROM m"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    f1 = "round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1"
+    strip = r"regexp_replace(regexp_replace({0}, '^[\s\x1c-\x1f\x{{85}}\x{{a0}}]+', ''), '[\s\x1c-\x1f\x{{85}}\x{{a0}}]+$', '')"
+    s = strip.format
+    knn = lambda c: f"WITH {_V}, {_sql_knn(c, 'k')} SELECT query_id, candidate_id, round(score, 6) AS score, rank FROM k"
+    out = {
+        "knn_text": knn("t"),
+        "knn_event": knn("e"),
+        "ranking_metrics": f"WITH {_sql_merged()}, g AS (SELECT m.*, q.label = c.label AS good FROM mg m JOIN v q ON q.id = query_id JOIN v c ON c.id = candidate_id), ks AS (SELECT unnest({KS}) AS k), p AS (SELECT query_id, k, count(*) FILTER (good AND rank <= k) AS h, count(*) FILTER (good) AS n, min(rank) FILTER (good) AS first FROM g, ks GROUP BY 1, 2) SELECT k, round(avg(CASE WHEN n > 0 THEN h / n ELSE 0 END), 6) AS recall, round(avg(CASE WHEN h > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit, round(avg(CASE WHEN first <= k THEN 1.0 / first ELSE 0.0 END), 6) AS mrr FROM p GROUP BY 1",
+        "directed_dedupe": "SELECT CAST(l_orderkey AS VARCHAR) AS src, CAST(l_partkey AS VARCHAR) AS dst, round(max(l_tax + l_discount), 6) AS score FROM lineitem WHERE l_orderkey <> l_partkey GROUP BY 1, 2",
+        "edges_mutual": f"WITH {_EDGES} SELECT u, v, round(lo, 6) AS w FROM ug WHERE n = 2 AND lo > 0",
+        "edges_either": f"WITH {_EDGES} SELECT u, v, round(hi, 6) AS w FROM ug WHERE hi > 0",
+        "components": f"WITH RECURSIVE {_EDGES}, kept AS (SELECT u, v FROM ug WHERE n = 2 AND lo > 0 AND 1 - lo <= 1 - {THETA} + 1e-12), sym AS (SELECT u AS a, v AS b FROM kept UNION ALL SELECT v, u FROM kept), reach(a, b) AS (SELECT id, id FROM v UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY 1",
+        "clique_violations": "SELECT CAST(0 AS BIGINT) AS violations",
+        "contingency": f"WITH {_T} SELECT gold, pred, n FROM t",
+        "pairwise_metrics": f"WITH {_T}, x AS (SELECT tp, pb - tp AS fp, ga - tp AS fn, coalesce(tp / nullif(pb, 0), 0) AS p, coalesce(tp / nullif(ga, 0), 0) AS r FROM tp, ga, pb) SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, {f1} FROM x",
+        "b_cubed": f"WITH {_T}, x AS (SELECT sum(n * n / b) / sum(n) AS p, sum(n * n / a) / sum(n) AS r FROM t JOIN a USING (gold) JOIN b USING (pred)) SELECT round(p, 6) AS precision, round(r, 6) AS recall, {f1} FROM x",
+        "adjusted_rand": f"WITH {_T}, n AS (SELECT sum(n) AS n FROM t), x AS (SELECT CAST(tp AS DOUBLE) AS tp, CAST(ga AS DOUBLE) AS ga, CAST(pb AS DOUBLE) AS pb, n * (n - 1) / 2.0 AS c FROM tp, ga, pb, n) SELECT round((tp - ga * pb / c) / ((ga + pb) / 2 - ga * pb / c), 6) AS ari FROM x",
+        "mutual_information": f"WITH {_T}, n AS (SELECT CAST(sum(n) AS DOUBLE) AS s FROM t), m AS (SELECT sum(n / s * ln(n * s / (a * b))) AS mi FROM t JOIN a USING (gold) JOIN b USING (pred), n), ha AS (SELECT -sum(a / s * ln(a / s)) AS ha FROM a, n), hb AS (SELECT -sum(b / s * ln(b / s)) AS hb FROM b, n) SELECT round(mi / ((ha + hb) / 2), 6) AS nmi FROM m, ha, hb",
+        "hungarian": _sql_hungarian(),
+        "partition_summary": f"WITH {_T} SELECT CAST(sum(b) AS BIGINT) AS n_reports, (SELECT count(*) FROM a) AS n_gold, count(*) AS n_pred, count(*) FILTER (b = 1) AS singletons, round(count(*) FILTER (b = 1) / count(*), 6) AS singleton_ratio, round(max(b) / sum(b), 6) AS max_cluster_frac, CAST(1.0 AS DOUBLE) AS coverage FROM b",
+        "pair_classification": "WITH x AS (SELECT l_discount * 10 >= 0.5 AS h, l_returnflag = 'R' AS y FROM lineitem), c AS (SELECT count(*) FILTER (h AND y) AS tp, count(*) FILTER (h AND NOT y) AS fp, count(*) FILTER (NOT h AND y) AS fn, count(*) FILTER (NOT h AND NOT y) AS tn FROM x) SELECT tp, fp, fn, tn, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision_pos, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall_pos, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1_pos, round((coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2.0 * tn / nullif(2 * tn + fn + fp, 0), 0)) / 2, 6) AS macro_f1 FROM c",
+        "fold_summary": "WITH x AS (SELECT o_orderpriority, avg(o_totalprice) AS price, CAST(count(*) AS DOUBLE) AS orders FROM orders GROUP BY 1), l AS (SELECT 'price' AS metric, price AS v FROM x UNION ALL SELECT 'orders', orders FROM x) SELECT metric, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS std, count(*) AS n FROM l GROUP BY 1",
+        "pair_table": f"WITH {_PAIRS} SELECT query_id, candidate_id, label, round(f, 6) AS score_fuse, round(CASE WHEN t1 <= t0 THEN 0 ELSE (coalesce(st, 0) - t0) / (t1 - t0) END, 6) AS score_text_norm, round(CASE WHEN e1 <= e0 THEN 0 ELSE (coalesce(se, 0) - e0) / (e1 - e0) END, 6) AS score_event_norm, round(CASE WHEN f1 <= f0 THEN 0 ELSE (f - f0) / (f1 - f0) END, 6) AS score_fuse_norm FROM ok",
+        "hard_negatives": f"WITH {_PAIRS}, z AS (SELECT *, sum(label) OVER (PARTITION BY query_id) AS np, row_number() OVER (PARTITION BY query_id, label ORDER BY f DESC, candidate_id) AS r FROM ok) SELECT query_id, candidate_id, label, round(f, 6) AS score_fuse FROM z WHERE label = 1 OR r <= CASE WHEN np > 0 THEN 4 * np ELSE 10 END",
+        "wide_features": f"WITH {_WIDE} SELECT query_id, candidate_id, eq_kind, round(sim_head, 6) AS sim_head, round(sim_tail, 6) AS sim_tail FROM wf",
+        "pair_scores": f"WITH {_WIDE} SELECT query_id, candidate_id, round(1 / (1 + exp(-(eq_kind + 2 * sim_head - 1.5 * sim_tail - 0.5))), 6) AS probability FROM wf",
+        "category_vocabulary": f"WITH {_CASES}, l AS (SELECT DISTINCT 'lang' AS field, lang AS token FROM c UNION SELECT 'source', source FROM c UNION SELECT 'quality', quality FROM c UNION SELECT 'toxic', toxic FROM c) SELECT field, token, CAST(row_number() OVER (PARTITION BY field ORDER BY token) - 1 AS INT) AS code FROM l",
+        "category_tokens": f"WITH {_CASES} SELECT * FROM c",
+        "case_views": f"SELECT doc_id, left({s('text')}, 100) AS clipped, {s(chr(39) + 'Title: ' + chr(39) + ' || left(' + s('source') + ', 200) || chr(10) || ' + chr(39) + 'Body: ' + chr(39) + ' || left(' + s('text') + ', 300)')} AS text_view, left({s(' || chr(10) || '.join(chr(39) + n + ': ' + chr(39) + (f' || left({s(dict(Title=chr(115) + 'ource', Subject='lang', Result='text')[n])}, {k})' if n in ('Title', 'Subject', 'Result') else '') for n, k in views.EVENT_LINES))}, 250) AS event_view, {s('text')} AS whole FROM documents",
+        "gold_partition": "SELECT o_custkey, count(*) AS size, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS members FROM orders GROUP BY 1",
+        "domain_difference": "WITH a AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS id FROM customer), b AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS id FROM part) SELECT id, 'left' AS side FROM (SELECT id FROM a EXCEPT SELECT id FROM b) UNION ALL SELECT id, 'right' FROM (SELECT id FROM b EXCEPT SELECT id FROM a)",
+        "duplicate_ids": "SELECT CAST(o_custkey AS VARCHAR) AS id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1",
+        "canonical_partition": "SELECT o_orderkey AS report_id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS cluster_id FROM orders",
+        "split_violations": "SELECT c_custkey AS incident_id, 'missing from a fold' AS why FROM customer WHERE c_custkey % 100 = 7 UNION ALL SELECT c_custkey, 'not tested once' FROM customer WHERE c_custkey % 100 = 7 AND c_custkey % 5 = 2",
+        "fold_subset": f"WITH {_sql_merged()} SELECT query_id, candidate_id, rank FROM mg WHERE rank <= 10 AND query_id IN (SELECT id FROM v WHERE label < 3) AND candidate_id IN (SELECT id FROM v WHERE label < 3)",
+        "set_operations": "WITH a AS (SELECT c_nationkey AS k FROM customer), b AS (SELECT s_nationkey AS k FROM supplier) SELECT CAST(k AS INT) AS k, 'union' AS op FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT CAST(k AS INT), 'intersect' FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT CAST(k AS INT), 'except all' FROM (SELECT DISTINCT k FROM (SELECT k FROM a EXCEPT ALL SELECT k FROM b))",
+        "json_alias_scan": "SELECT event_id, coalesce(json_extract_string(props, '$.query_id'), json_extract_string(props, '$.k'), json_extract_string(props, '$.page'), json_extract_string(props, '$.id')) AS first FROM events",
+        "incremental_first_wins": "SELECT o_custkey AS id, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1",
+        "upsert_last_wins": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1",
+    }
+    for m in ("max", "mean", "wavg", "maxmin"):
+        out[f"recall_fused_{m}"] = f"WITH {_sql_merged(m)} SELECT query_id, candidate_id, round(f, 6) AS score_fuse, rt IS NOT NULL AS in_text, re IS NOT NULL AS in_event FROM mg"
+    return out
