@@ -73,7 +73,7 @@ def _fingerprints(df: DataFrame, keep: list[str], shorts: list[int], whole_short
     none = F.lit(None).cast(T.ArrayType(T.LongType()))
     for m in shorts:
         fits = (F.col("n_words") == m) if whole_short else (F.col("n_words") >= m)
-        grams = F.transform(F.sequence(F.lit(0), F.col("n_words") - m), lambda i, m=m: F.struct(F.lit(m).alias("m"), i.alias("pos"), _gram(F.col("_h"), i, m).alias("fp"), none.alias("ctx")))
+        grams = F.transform(F.sequence(F.lit(0), F.col("n_words") - m), lambda i: F.struct(F.lit(m).alias("m"), i.alias("pos"), _gram(F.col("_h"), i, m).alias("fp"), none.alias("ctx")))  # noqa: B023
         parts.append(F.coalesce(F.when(fits, grams).cast(kind), F.array().cast(kind)))
     return df.select(*keep, "n_words", (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("fps"))
 
