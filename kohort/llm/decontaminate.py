@@ -15,9 +15,6 @@ BROADCAST_ROWS = 100_000
 
 EDGES = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
-#: A window length, the position of a fingerprint, and the word hashes around it.
-PRINT = T.StructType([T.StructField("m", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("ctx", T.ArrayType(T.LongType()))])
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words once A-Z are lower case.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,14 +25,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def word_hashes(text: Column) -> Column:
-    """xxhash64 of each word. Gaps at the ends are trimmed first, so that only a text without words leaves an empty piece."""
-    pieces = F.split(F.trim(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(EDGES)), GAP)
-    return F.when(F.get(pieces, F.lit(0)) != "", F.transform(pieces, lambda w: F.xxhash64(w))).otherwise(F.array().cast(T.ArrayType(T.LongType())))
-
-
-def _gram(h: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(F.lit(n), *[F.get(h, at + j) for j in range(n)])
+def with_word_hashes(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Add ``_h``: xxhash64 of each word. Gaps at the ends are trimmed first, so that only a text without words leaves an empty piece."""
+    pieces = F.split(F.trim(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(EDGES)), GAP)
+    df = df.select(*keep, pieces.alias("_p"))  # a column of its own: inside a lambda the split would run again
+    none = F.array().cast(T.ArrayType(T.LongType()))
+    return df.select(*keep, F.when(F.get("_p", F.lit(0)) != "", F.transform("_p", lambda w: F.xxhash64(w))).otherwise(none).alias("_h"))
 
 
 def _winnowed(g: str, own: Column, p: Column) -> Column:
@@ -51,31 +46,39 @@ def _winnowed(g: str, own: Column, p: Column) -> Column:
             out = F.when(F.coalesce(F.get(g, p + step * j) >= own, F.lit(False)), out).otherwise(j - 1)
         return out
 
-    return run(-1) + run(1) >= side
+    return own.isNotNull() & (run(-1) + run(1) >= side)
 
 
 def _fingerprints(df: DataFrame, keep: list[str], shorts: list[int], whole_short: bool) -> DataFrame:
-    """Add ``n_words`` and ``fps``: array of ``(m, pos, fp, ctx)``.
+    """One row of ``keep, n_words, _h, m, pos, fp`` for each fingerprint, and one with pos -1 for each row of df.
 
-    m is WINDOW for winnowed k-grams, with ctx the word hashes from WINDOW-KGRAM before to as many after; else m is the length of a
-    window that is a whole short item, and ctx is null.
+    m is WINDOW for winnowed k-grams; else it is the length of a window that is a whole short item.
+    Lambdas run interpreted, so only the hashes of words and k-grams are made in arrays; positions are then rows, and choosing
+    minima is compiled together with the join. A k-gram's hash is that of shifted halves: (w1 ^ w2 << 5) ^ (w3 ^ w4 << 5) << 10.
     """
-    side = WINDOW - KGRAM
-    kind = T.ArrayType(PRINT)
-    df = df.select(*keep, word_hashes(F.col("text")).alias("_h"))
-    df = df.withColumn("n_words", F.size("_h"))
-    df = df.withColumn("_g", F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.col("n_words") - KGRAM), lambda i: _gram(F.col("_h"), i, KGRAM))))
-    padded = F.concat(F.array_repeat(F.lit(None).cast("bigint"), side), F.col("_h"), F.array_repeat(F.lit(None).cast("bigint"), side))
-    df = df.withColumn("_pad", F.when(F.col("_g").isNotNull(), padded))
-    # _pad is named twice so that the optimizer keeps it as a column and doesn't build it anew for each element.
-    found = F.transform("_g", lambda x, p: F.when(_winnowed("_g", x, p), F.struct(F.lit(WINDOW).alias("m"), p.alias("pos"), x.alias("fp"), F.slice("_pad", p + 1, KGRAM + 2 * side).alias("ctx"))))
-    parts = [F.coalesce(F.when(F.col("_pad").isNotNull(), F.filter(found, lambda x: x.isNotNull())).cast(kind), F.array().cast(kind))]
-    none = F.lit(None).cast(T.ArrayType(T.LongType()))
+    df = with_word_hashes(df, keep)
+    join = lambda a, skip, bits: F.zip_with(a, F.slice(a, skip + 1, F.greatest(F.size(a), F.lit(1))), lambda x, y: x.bitwiseXOR(F.shiftleft(y, bits)))
+    df = df.select(*keep, "_h", join("_h", 1, 5).alias("_two"))
+    df = df.select(*keep, "_h", join("_two", 2, 10).alias("_g"))  # null where fewer words are left
+    # explode_outer: a plain explode would have its argument pushed down as a filter, through all the steps above.
+    df = df.select(*keep, F.size("_h").alias("n_words"), "_h", "_g", F.explode_outer(F.sequence(F.lit(-1), F.size("_h") - 1)).alias("pos"))
+    p = F.col("pos")
+    fp = F.get("_g", p)
+    if not shorts:
+        df = df.where((p < 0) | _winnowed("_g", fp, p))
+        return df.select(*keep, "n_words", "_h", F.lit(WINDOW).alias("m"), "pos", fp.alias("fp"))
+    kinds = [F.struct(F.lit(WINDOW).alias("m"), F.when((p < 0) | _winnowed("_g", fp, p), F.coalesce(fp, F.lit(0))).alias("fp"))]
     for m in shorts:
-        fits = (F.col("n_words") == m) if whole_short else (F.col("n_words") >= m)
-        grams = F.transform(F.sequence(F.lit(0), F.col("n_words") - m), lambda i: F.struct(F.lit(m).alias("m"), i.alias("pos"), _gram(F.col("_h"), i, m).alias("fp"), none.alias("ctx")))  # noqa: B023
-        parts.append(F.coalesce(F.when(fits, grams).cast(kind), F.array().cast(kind)))
-    return df.select(*keep, "n_words", (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("fps"))
+        fits = (p == 0) & (F.col("n_words") == m) if whole_short else (p >= 0) & (p + m <= F.col("n_words"))
+        kinds.append(F.struct(F.lit(m).alias("m"), F.when(fits, F.xxhash64(F.lit(m), *[F.get("_h", p + j) for j in range(m)])).alias("fp")))
+    df = df.select(*keep, "n_words", "_h", "pos", F.explode_outer(F.array(*kinds)).alias("f")).where(F.col("f.fp").isNotNull())
+    return df.select(*keep, "n_words", "_h", F.col("f.m").alias("m"), "pos", F.col("f.fp").alias("fp"))
+
+
+def _context(m: Column) -> Column:
+    """The word hashes from WINDOW-KGRAM before a k-gram to as many after it; null for a short item's window."""
+    side = WINDOW - KGRAM
+    return F.when(m == WINDOW, F.array(*[F.get("_h", F.col("pos") + j) for j in range(-side, KGRAM + side)]))
 
 
 def _run(side: list[Column]) -> Column:
@@ -96,22 +99,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep_row: bool = False)
     shuffled beyond it) and one aggregation by row; no text is shuffled.
     """
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    lengths = bench.select(F.size(word_hashes(F.col("text"))).alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct()
+    lengths = with_word_hashes(bench, []).select(F.size("_h").alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct()
     shorts = sorted(r.n for r in lengths.collect())  # nine values at most
-    # explode_outer: a plain explode would have its argument pushed down as a filter, through all the steps above.
-    prints = _fingerprints(bench, ["item"], shorts, True).select("item", F.explode_outer("fps").alias("f")).where(F.col("f").isNotNull())
-    prints = prints.groupBy(F.col("f.m").alias("bm"), F.col("f.fp").alias("bfp"), F.col("f.ctx").alias("bctx")).agg(F.collect_set("item").alias("items"))
+    prints = _fingerprints(bench, ["item"], shorts, True).where(F.col("pos") >= 0).select("item", F.col("m").alias("bm"), F.col("fp").alias("bfp"), _context(F.col("m")).alias("bctx"))
+    prints = prints.groupBy("bm", "bfp", "bctx").agg(F.collect_set("item").alias("items"))
     small = prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     base = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
-    marked = _fingerprints(base, ["_row", "doc_id"], shorts, False)
-    # One element more for each row keeps rows without a hit through the join.
-    own = F.struct(F.lit(0).alias("m"), F.lit(-1).alias("pos"), F.xxhash64(F.col("_row")).alias("fp"), F.lit(None).cast(T.ArrayType(T.LongType())).alias("ctx")).cast(PRINT)
-    rows = marked.select("_row", "doc_id", "n_words", F.explode_outer(F.concat(F.array(own), "fps")).alias("f")).select("_row", "doc_id", "n_words", F.col("f.m").alias("m"), F.col("f.pos").alias("pos"), F.col("f.fp").alias("fp"), F.col("f.ctx").alias("ctx"))
-    met = rows.join(F.broadcast(prints) if small else prints, (F.col("fp") == F.col("bfp")) & (F.col("m") == F.col("bm")), "left").where((F.col("pos") < 0) | F.col("bfp").isNotNull())
+    rows = _fingerprints(base, ["_row", "doc_id"], shorts, False)
+    on = (F.col("fp") == F.col("bfp")) & (F.col("m") == F.col("bm")) & (F.col("pos") >= 0)
+    if small:  # word hashes are looked up in their array after the join, which moves nothing
+        met = rows.join(F.broadcast(prints), on, "left").where((F.col("pos") < 0) | F.col("bfp").isNotNull()).withColumn("ctx", _context(F.col("m")))
+    else:  # rows of pos -1 get keys of their own, so as not to meet in one task
+        key = F.when(F.col("pos") < 0, F.xxhash64("_row")).otherwise(F.col("fp"))
+        rows = rows.select("_row", "doc_id", "n_words", "m", "pos", key.alias("fp"), _context(F.col("m")).alias("ctx"))
+        met = rows.join(prints, on, "left").where((F.col("pos") < 0) | F.col("bfp").isNotNull())
 
     side = WINDOW - KGRAM
-    agree = lambda i: F.get("ctx", F.lit(i)) == F.get("bctx", F.lit(i))
+    # Compared in a lambda: matches are few, and code compiled for them would make the join's method too long for the JIT.
+    same = F.zip_with("ctx", "bctx", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    met = met.withColumn("_same", F.when(F.col("ctx").isNotNull() & F.col("bctx").isNotNull(), same))
+    agree = lambda i: F.get("_same", F.lit(i))
     left = _run([agree(i) for i in range(side - 1, -1, -1)])
     right = _run([agree(i) for i in range(side + KGRAM, KGRAM + 2 * side)])
     core = reduce(lambda x, y: x & y, [agree(i) for i in range(side, side + KGRAM)])
