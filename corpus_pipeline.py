@@ -42,9 +42,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Bytes repeated from earlier documents go; a document of which nothing is left goes, and so do cut characters."""
     own = _columns(docs)
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    left = suffixes.remove_repeats(docs).where("n_removed > 0").select(F.col("uid").alias("_row"), "kept")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.regexp_replace(F.decode_utf8("kept") if hasattr(F, "decode_utf8") else F.expr("try_validate_utf8(string(kept))"), "�", ""))
-    out = numbered.join(left, "_row", "left").withColumn("text", text)
+    left = suffixes.remove_repeats(docs, as_text=True).where("n_removed > 0").select(F.col("uid").alias("_row"), "kept")
+    out = numbered.join(left, "_row", "left").withColumn("text", F.coalesce("kept", "text"))
     out = out.where(F.col("kept").isNull() | (F.length("text") > 0))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*own) if "n_chars" in own else out.select(*own)
 

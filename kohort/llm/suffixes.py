@@ -204,9 +204,11 @@ def _repeats(dealt: tuple[DataFrame, int, int], length: int) -> DataFrame:
     return runs.groupBy("grp").applyInArrow(resolve, "bucket int, uid long, start int, stop int")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """``uid, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for each row; kept is the text left, as bytes.
 
+    as_text: kept is a string, without the bytes of characters that a cut parts; null where nothing is removed.
+
     Texts are UTF-8 bytes, null counts as empty. Every byte covered by a string of length bytes that also starts in a
     document with a smaller doc_id goes; overlaps count, strings are judged on the input, matches never cross documents.
     Rows with the same doc_id are not each other's smaller document; a null doc_id comes after all others. Texts
@@ -242,10 +244,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     end = b
             parts.append(text[end:])
             kept = b"".join(parts)
-            for x, v in zip(out, (len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept)):
+            digest = hashlib.sha256(kept).hexdigest()
+            if as_text:  # each part alone: bytes of two parts make no character
+                kept = "".join(p.decode("utf-8", "ignore") for p in parts) if n else None
+            for x, v in zip(out, (len(text), removed, n, digest, kept)):
                 x.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary())
         return pa.Table.from_arrays([own.column("uid"), own.column("doc_id"), *(pa.array(v, k) for v, k in zip(out, kinds))], names=["uid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    schema = "uid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = "uid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if as_text else "binary")
     return rows.groupBy("bucket").cogroup(_repeats(dealt, length).groupBy("bucket")).applyInArrow(cut, schema)

@@ -231,3 +231,28 @@ def test_pipeline_stages(spark):
     assert sorted(r.doc_id for r in cp.near_copies(spark, d, "").collect()) == [0, 2, 3]
     left = {r.doc_id: r.text for r in cp.repeated_passages(spark, d, "").collect()}
     assert left[0] == body and len(left[1]) < 10 and left[3] == rows[3][1]
+
+
+def test_pipeline_keeps_documents_cut_inside_characters(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    passage = " ".join(f"common passage {i}" for i in range(6)) + " "
+    own = [" ".join(f"{w} words that only stand in text number {k} {w}{i}" for i in range(12)) for k, w in enumerate(["first", "second", "third", "fourth"])]
+    # The cuts end inside characters: é and è, ю and я have their first bytes in common.
+    texts = [f"{own[0]} {passage}é one", f"{own[1]} � {passage}è two", f"{own[2]} ж{passage}ю", f"{own[3]} д{passage}я"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "a benchmark item of ten and more words that no document here has")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in cp.run(spark, str(tmp_path)).collect()}
+    raw, want = [t.encode() for t in texts], []
+    for k, r in enumerate(raw):  # brute force; parts are decoded one by one
+        seen = {o[p : p + 50] for o in raw[:k] for p in range(len(o) - 49)}
+        gone = bytearray(len(r))
+        for p in range(len(r) - 49):
+            if r[p : p + 50] in seen:
+                gone[p : p + 50] = b"\1" * 50
+        want.append("".join(r[m.start() : m.end()].decode("utf-8", "ignore") for m in re.finditer(rb"\0+", bytes(gone))))
+    assert any("�" in t for t in want) and any(b != t for b, t in zip(texts, want))
+    assert sorted(got) == [0, 1, 2, 3]
+    for k, t in enumerate(want):
+        assert got[k].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
