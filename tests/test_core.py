@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kohort.functions.scalars import clip, fuse_score, strip, theta_grid
-from kohort.operators import graph, linkage, metrics, pairs, validation
+from kohort.operators import graph, linkage, metrics, pairs, recall, validation
 from kohort.operators.components import connected_components
 from kohort.plans import workflows
 from kohort.sources import readers, writers
@@ -153,3 +153,12 @@ def test_fallback_negatives(spark):
     rows = pairs.fallback_negatives(pool, have, 10).groupBy("query_id").agg(F.countDistinct("candidate_id").alias("n"), F.count_if(F.col("query_id") == F.col("candidate_id")).alias("own")).collect()
     assert len(rows) == 29 and all(r.n == 10 and r.own == 0 for r in rows)
     assert graph.EPS == 1e-12
+
+
+def test_approximate_recall(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 32))
+    df = spark.createDataFrame([(str(i), x.tolist()) for i, x in enumerate(v)], "id string, vec array<double>")
+    pairs_of = lambda d: {(r.query_id, r.candidate_id) for r in d.select("query_id", "candidate_id").collect()}
+    exact, near = pairs_of(recall.knn(df, df, 20)), pairs_of(recall.knn_approximate(df, df, 20))
+    assert len(exact & near) >= 0.9 * len(exact)
