@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -48,8 +49,9 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     """``doc_id, n_lines, n_matched, licenses, best_score`` for each row of docs.
 
     Units are the lines of a text. A unit matches a template when Dice, 2 * common / (unit + template) over bags of word
-    bigrams, is at least threshold; a bag of b bigrams can only match those of b*t/(2-t) to b*(2-t)/t, so that templates
-    out of these bounds, and with them nearly all lines, are set aside by their word counts before a bigram is made.
+    bigrams, is at least threshold; common is at most the lesser size, so that templates that fail with this count, and
+    with them nearly all lines, are set aside by their word counts before a bigram is made. The bound is computed as Dice
+    itself is, so that rounding can't set aside a pair at exactly the threshold.
     licenses: ids of matched templates that are the best of some line (ties: all), sorted, comma-joined, '' if none.
     best_score: 0 if nothing matches. A null or empty text has no lines; a repeated doc_id gives a row for each row.
     Plan: no shuffle at all; lines stay arrays in their row.
@@ -60,13 +62,14 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     made = made.select("id", F.col("w"), _bag(F.col("w")).alias("g")).select("id", _numbered(F.col("g")).alias("g"))
     known = sorted((r.id, list(r.g)) for r in made.collect())  # the templates only
     sizes = [len(g) for _, g in known]
-    low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
+    most = math.ceil(max(sizes) * (2 - threshold) / threshold) + 1
+    fits = [n for n in range(1, most + 1) if any(2.0 * min(n, s) / (n + s) >= threshold for s in sizes)]
     table = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, g)).alias("g")) for i, g in known])
 
     lines = docs.select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "").alias("lines"))
     # Of a line too long or too short for any template only its word count is taken.
     flat = lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.transform("lines", lambda x: F.split(normalise(x), " ")).alias("w"))
-    flat = flat.withColumn("w", F.filter("w", lambda w: (F.size(w) - 1 >= low) & (F.size(w) - 1 <= high)))
+    flat = flat.withColumn("w", F.filter("w", lambda w: (F.size(w) - 1).isin(fits)))
     flat = flat.withColumn("w", F.transform("w", lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))))
     flat = flat.withColumn("w", F.transform("w", _numbered))
 
@@ -74,7 +77,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
         return F.lit(2.0) * F.size(F.array_intersect(unit, t["g"])) / (F.size(unit) + F.size(t["g"]))
 
     def matches(unit: Column) -> Column:
-        near = F.filter(table, lambda t: (F.size(t["g"]) >= F.size(unit) * threshold / (2 - threshold)) & (F.size(t["g"]) <= F.size(unit) * (2 - threshold) / threshold))
+        near = F.filter(table, lambda t: F.lit(2.0) * F.least(F.size(unit), F.size(t["g"])) / (F.size(unit) + F.size(t["g"])) >= threshold)
         return F.filter(F.transform(near, lambda t: F.struct(dice(unit, t).alias("score"), t["id"].alias("id"))), lambda m: m["score"] >= threshold)
 
     flat = flat.withColumn("m", F.filter(F.transform("w", matches), lambda m: F.size(m) > 0))

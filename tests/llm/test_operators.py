@@ -256,3 +256,25 @@ def test_pipeline_keeps_documents_cut_inside_characters(spark, tmp_path):
     assert sorted(got) == [0, 1, 2, 3]
     for k, t in enumerate(want):
         assert got[k].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_licenses_at_the_threshold(spark):
+    lines = ["Now released under the MIT License today", "the BSD 2-Clause License.", "public license version 3 affero general", "Released under the MIT", "Released under the MIT License"]
+    lines += ["Licensed under CC BY-NC 4.0"[12:], "This work is licensed under the GNU Affero General Public"]
+    got = {r.doc_id: (r.licenses, r.best_score) for r in licenses.scan_licenses(docs(spark, lines)).collect()}
+    bags = {i: licenses_bag(t) for i, t in licenses.TEMPLATES}
+    for k, line in enumerate(lines):
+        unit = licenses_bag(line)
+        scores = {i: 2 * sum(min(n, b.get(g, 0)) for g, n in unit.items()) / (sum(unit.values()) + sum(b.values())) for i, b in bags.items()}
+        best = max(scores.values())
+        want = (",".join(sorted(i for i, s in scores.items() if s == best)), round(best, 6)) if best >= 0.8 else ("", 0.0)
+        assert got[k] == want
+    assert got[0] == ("mit", 0.8) and got[1] == ("bsd-2-clause", 0.8) and got[2][1] == 0
+
+
+def licenses_bag(text):
+    words = re.sub("licen[cs]e", "license", re.sub("[^a-z0-9]+", " ", text.lower()).strip()).split(" ")
+    bag = {}
+    for g in zip(words, words[1:]):
+        bag[g] = bag.get(g, 0) + 1
+    return bag
