@@ -29,13 +29,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the least doc_id, of rows with the same one the first."""
+    """One row of each group of near copies stays: the least doc_id, of rows with the same one the first."""
     own = _columns(docs)
     groups = jaccard.join_components(docs)
     numbered = docs.select(*own, F.monotonically_increasing_id().alias("_row"))  # the number that the join gives a row
-    first = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    single = first.groupBy("doc_id").agg(F.min("uid").alias("_row")).select("_row")
-    return numbered.join(single, "_row", "left_semi").select(*own)
+    first = groups.where("uid = first_uid").select(F.col("uid").alias("_row"))
+    return numbered.join(first, "_row", "left_semi").select(*own)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -225,13 +225,14 @@ def _join_blocks(percent: int):
 
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """``uid, doc_id, n_shingles, component_id`` for each row of docs.
+    """``uid, doc_id, n_shingles, component_id, first_uid`` for each row of docs.
 
     Words are what stands between ASCII spaces, A-Z lower-cased; a set is the distinct runs of words of a whole text, by
     64-bit hashes; with fewer words the whole sequence is its one member; null and word-less texts have an empty set
     that links with nothing. Two rows link when 100 * common >= percent * union. component_id is the least doc_id
     reachable by links, the row's own included. Rows with a null doc_id come after all others and name no component
-    unless alone in it (null). Repeated rows link as copies do. An empty table gives no rows.
+    unless alone in it (null). Repeated rows link as copies do. first_uid is the uid of a component's first row, by doc_id
+    and uid; it alone tells components apart, as doc_ids can repeat or be null. An empty table gives no rows.
 
     Plan: texts are dealt evenly into buckets; distinct hashes of a bucket (four bytes each) are counted by hash. A set
     can link only if percent of it occurs elsewhere: all other texts end here. Equal sets become one class. Of the
@@ -325,8 +326,9 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             hosts = hosts.select(F.xxhash64("cc", "rb", "block").alias("task"), "cc", F.lit(0).alias("side"), "cid", "tokens").join(asked, "task", "left_semi")
             links = links.union(hosts.union(visit).groupBy("task").applyInArrow(_join_blocks(percent), kind).select("cid", "root"))
     parts = connected_components(links.where("cid <> root"), "cid", "root").select(F.col("node").alias("cid"), F.col("component").alias("part"))
-    named = classes.select("cls", "cid", "low").join(parts, "cid", "left").select("cls", "low", F.coalesce("part", "cid").alias("part"))
-    named = named.join(named.groupBy("part").agg(F.min("low").alias("component")), "part").select("cls", "component")
-    found = member.join(named, "cls").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") < NONE, F.col("component")).alias("component_id"))
-    alone = judged.where(F.col("cls").isNull()).select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = classes.select("cls", "cid", "low").join(parts, "cid", "left").select("cls", "low", F.coalesce("part", "cid").alias("part"), "cid")
+    head = named.groupBy("part").agg(F.min(F.struct("low", "cid")).alias("m"))
+    named = named.join(head, "part").select("cls", F.col("m.low").alias("component"), F.col("m.cid").alias("first_uid"))
+    found = member.join(named, "cls").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") < NONE, F.col("component")).alias("component_id"), "first_uid")
+    alone = judged.where(F.col("cls").isNull()).select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("uid").alias("first_uid"))
     return found.union(alone)

@@ -258,6 +258,18 @@ def test_pipeline_keeps_documents_cut_inside_characters(spark, tmp_path):
         assert got[k].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_pipeline_keeps_a_row_of_each_group(spark):
+    import corpus_pipeline as cp
+
+    text = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    pairs = [(None, "a"), (None, "b"), (None, "a"), (None, "c"), (7, "d"), (7, "e"), (7, "d"), (8, "f"), (8, "c"), (9, "e")]
+    rows = [(i, text(w)) for i, w in pairs] + [(None, ""), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.text) for r in cp.near_copies(spark, d, "").collect()]
+    want = [(None, text("a")), (None, text("b")), (7, text("d")), (7, text("e")), (8, text("f")), (8, text("c")), (None, ""), (None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_licenses_at_the_threshold(spark):
     lines = ["Now released under the MIT License today", "the BSD 2-Clause License.", "public license version 3 affero general", "Released under the MIT", "Released under the MIT License"]
     lines += ["Licensed under CC BY-NC 4.0"[12:], "This work is licensed under the GNU Affero General Public"]
