@@ -22,8 +22,8 @@ def contingency(gold: DataFrame, pred: DataFrame, report: str = "report_id", str
     return gold.join(pred, report).groupBy("gold", "pred").agg(F.count("*").alias("n"))
 
 
-def sizes(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return table.groupBy("gold").agg(F.sum("n").alias("a")), table.groupBy("pred").agg(F.sum("n").alias("b"))
+def sizes(table: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    return table.groupBy(*by, "gold").agg(F.sum("n").alias("a")), table.groupBy(*by, "pred").agg(F.sum("n").alias("b"))
 
 
 def _ratio(x, y):
@@ -104,26 +104,31 @@ def assign(score: np.ndarray) -> np.ndarray:
     return out
 
 
-def hungarian(table: DataFrame) -> DataFrame:
+def hungarian(table: DataFrame, by: str | None = None) -> DataFrame:
     """One row: ``g2p, p2g, symmetric, matched, unmatched_gold, unmatched_pred`` of the best one-to-one matching by F1.
 
     Clusters without a common report can't match, so the overlap graph is cut into components and each solved in one task.
+    by: a column that parts table into tables of their own; then its values stand first, with a row for each.
     """
     ship(table.sparkSession)
-    a, b = sizes(table)
-    full = table.join(a, "gold").join(b, "pred").select(F.concat(F.lit("g"), F.col("gold").cast("string")).alias("g"), F.concat(F.lit("p"), F.col("pred").cast("string")).alias("p"), (2.0 * F.col("n") / (F.col("a") + F.col("b"))).alias("f"))
+    keys = [by] if by else []
+    a, b = sizes(table, *keys)
+    name = lambda c: F.concat(F.lit(c[0]), *[F.concat(F.col(x).cast("string"), F.lit("/")) for x in keys], F.col(c).cast("string")).alias(c[0])
+    full = table.join(a, [*keys, "gold"]).join(b, [*keys, "pred"]).select(*keys, name("gold"), name("pred"), (2.0 * F.col("n") / (F.col("a") + F.col("b"))).alias("f"))
     parts = connected_components(full, "g", "p").select(F.col("node").alias("g"), "component")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = pdf.pivot(index="g", columns="p", values="f").fillna(0.0).to_numpy()
         grid = grid if grid.shape[0] <= grid.shape[1] else grid.T
         got = grid[np.arange(len(grid)), assign(grid)]
-        return pd.DataFrame({"total": [float(got.sum())], "matched": [int((got > 0).sum())]})
+        return pd.DataFrame({**{x: pdf[x].iloc[:1].to_numpy() for x in keys}, "total": [float(got.sum())], "matched": [int((got > 0).sum())]})
 
-    done = full.join(parts, "g").groupBy("component").applyInPandas(solve, "total double, matched long").agg(F.sum("total").alias("s"), F.sum("matched").alias("matched"))
-    out = done.crossJoin(a.agg(F.count("*").alias("ng"))).crossJoin(b.agg(F.count("*").alias("np")))
+    kind = "".join(f"{x} {table.schema[x].dataType.simpleString()}, " for x in keys) + "total double, matched long"
+    done = full.join(parts, "g").groupBy("component").applyInPandas(solve, kind).groupBy(*keys).agg(F.sum("total").alias("s"), F.sum("matched").alias("matched"))
+    ng, np_ = a.groupBy(*keys).agg(F.count("*").alias("ng")), b.groupBy(*keys).agg(F.count("*").alias("np"))
+    out = done.join(ng, keys).join(np_, keys) if keys else done.crossJoin(ng).crossJoin(np_)
     out = out.withColumn("g2p", F.col("s") / F.col("ng")).withColumn("p2g", F.col("s") / F.col("np"))
-    return out.select("g2p", "p2g", ((F.col("g2p") + F.col("p2g")) / 2).alias("symmetric"), "matched", (F.col("ng") - F.col("matched")).alias("unmatched_gold"), (F.col("np") - F.col("matched")).alias("unmatched_pred"))
+    return out.select(*keys, "g2p", "p2g", ((F.col("g2p") + F.col("p2g")) / 2).alias("symmetric"), "matched", (F.col("ng") - F.col("matched")).alias("unmatched_gold"), (F.col("np") - F.col("matched")).alias("unmatched_pred"))
 
 
 def partition_summary(table: DataFrame) -> DataFrame:

@@ -200,7 +200,7 @@ def q_json(spark, d):
 
 def q_theta(spark, d):
     scores = cut(_merged(spark, d)).select("query_id", "candidate_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score_fuse"))).alias("probability"))
-    return _r(workflows.theta_table(_gold(spark, d), scores, S.theta_grid(0.5, 0.9, 0.1)), "pair_f1", "b_cubed_f1")
+    return _r(workflows.theta_table(_gold(spark, d), scores, S.theta_grid()), "hungarian_f1_g2p", "hungarian_f1_symmetric", "pair_f1", "b_cubed_f1")
 
 
 def q_setops(spark, d):

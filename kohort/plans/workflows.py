@@ -14,7 +14,7 @@ from kohort.session import cut
 
 
 def theta_table(gold: DataFrame, scores: DataFrame, thetas: list[float], rule: str = "mutual") -> DataFrame:
-    """``theta, n_pred, pair_f1, b_cubed_f1`` for all thresholds in one job: theta is a grouping column.
+    """``theta, n_pred, hungarian_f1_g2p, hungarian_f1_symmetric, pair_f1, b_cubed_f1`` for all thresholds in one job: theta is a grouping column.
 
     gold: report_id, gold.
     """
@@ -29,7 +29,8 @@ def theta_table(gold: DataFrame, scores: DataFrame, thetas: list[float], rule: s
     sums = sums.join(a.groupBy("theta").agg(F.sum(c2("a")).alias("ga")), "theta").join(b.groupBy("theta").agg(F.sum(c2("b")).alias("pb"), F.count("*").alias("n_pred")), "theta")
     f1 = lambda p, r: F.coalesce(F.try_divide(2.0 * p * r, p + r), F.lit(0.0))
     pair_p, pair_r = (F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col(c).cast("double")), F.lit(0.0)) for c in ("pb", "ga"))
-    return sums.select("theta", "n_pred", f1(pair_p, pair_r).alias("pair_f1"), f1(F.col("p") / F.col("total"), F.col("r") / F.col("total")).alias("b_cubed_f1"))
+    matched = metrics.hungarian(t.withColumnRenamed("cluster", "pred"), by="theta").select("theta", F.col("g2p").alias("hungarian_f1_g2p"), F.col("symmetric").alias("hungarian_f1_symmetric"))
+    return sums.join(matched, "theta").select("theta", "n_pred", "hungarian_f1_g2p", "hungarian_f1_symmetric", f1(pair_p, pair_r).alias("pair_f1"), f1(F.col("p") / F.col("total"), F.col("r") / F.col("total")).alias("b_cubed_f1"))
 
 
 def select_dev(gold: DataFrame, scores: DataFrame, low: float = 0.10, high: float = 0.95, step: float = 0.01, rule: str = "mutual") -> dict:

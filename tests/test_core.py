@@ -162,3 +162,14 @@ def test_approximate_recall(spark):
     pairs_of = lambda d: {(r.query_id, r.candidate_id) for r in d.select("query_id", "candidate_id").collect()}
     exact, near = pairs_of(recall.knn(df, df, 20)), pairs_of(recall.knn_approximate(df, df, 20))
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_theta_table_against_single_thresholds(spark):
+    rng = random.Random(5)
+    ids = [f"r{i}" for i in range(14)]
+    gold = spark.createDataFrame([(x, f"e{i % 4}") for i, x in enumerate(ids)], "report_id string, gold string")
+    s = spark.createDataFrame([(a, b, rng.random()) for a in ids for b in ids if a != b], "query_id string, candidate_id string, probability double")
+    got = {r.theta: r for r in workflows.theta_table(gold, s, [0.2, 0.4, 0.6]).collect()}
+    for r in workflows.select_dev(gold, s, 0.2, 0.6, 0.2)["table"]:
+        g = got[r["theta"]]
+        assert (g.n_pred, round(g.hungarian_f1_g2p, 9), round(g.hungarian_f1_symmetric, 9), round(g.b_cubed_f1, 9)) == (r["num_pred_clusters"], round(r["hungarian_f1_g2p"], 9), round(r["hungarian_f1_symmetric"], 9), round(r["b_cubed_f1"], 9))
