@@ -17,7 +17,8 @@ WORDS = 1 << 15  # new words that one recursive query contracts at most
 CACHE_BYTES = 128 << 20  # of a worker's words that are done
 
 #: One row is a token of a word at a position. Each round joins neighbours to the merge table, takes the first of the
-#: pairs of least rank in every word and contracts it; a word without a pair comes out as it is and rests.
+#: pairs of least rank in every word and contracts it; a word without a pair comes out as it is and rests. Rank and
+#: position are packed in one number, 32 bits for the position: no text has as many bytes.
 CONTRACT = """
 WITH RECURSIVE state(word, pos, tok, live) AS (
     SELECT word, pos, tok, true FROM start
@@ -25,11 +26,11 @@ WITH RECURSIVE state(word, pos, tok, live) AS (
     (WITH paired AS (
         SELECT word, pos, tok, lead(tok) OVER w AS nxt, lag(pos) OVER w AS prv FROM state WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
     ), ranked AS (
-        SELECT p.word, p.pos, p.prv, p.tok, min(m.made * 1048576 + p.pos) OVER (PARTITION BY p.word) AS best
+        SELECT p.word, p.pos, p.prv, p.tok, min(m.made * 4294967296 + p.pos) OVER (PARTITION BY p.word) AS best
         FROM paired p LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b
     )
-    SELECT word, pos, CASE WHEN best % 1048576 = pos THEN best // 1048576 ELSE tok END, best IS NOT NULL
-    FROM ranked WHERE best IS NULL OR prv IS NULL OR prv <> best % 1048576)
+    SELECT word, pos, CASE WHEN best % 4294967296 = pos THEN best // 4294967296 ELSE tok END, best IS NOT NULL
+    FROM ranked WHERE best IS NULL OR prv IS NULL OR prv <> best % 4294967296)
 )
 SELECT word, list(tok ORDER BY pos) AS toks FROM state WHERE NOT live GROUP BY word
 """

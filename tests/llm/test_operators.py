@@ -290,3 +290,15 @@ def licenses_bag(text):
     for g in zip(words, words[1:]):
         bag[g] = bag.get(g, 0) + 1
     return bag
+
+
+def test_bpe_positions_in_a_long_word(tmp_path):
+    import base64
+
+    tokens = [bytes([i]) for i in range(256)] + [b"ab", b"abc"]
+    path = tmp_path / "small.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
+    coder = bpe.Encoder(str(path), ".+")
+    text = "x" * 1_048_580 + "abc"
+    ids = np.frombuffer(coder.encode_batch([text])[0], "<u4")
+    assert len(ids) == 1_048_581 and ids[-1] == 257 and coder.decode(ids.tobytes()).decode() == text
