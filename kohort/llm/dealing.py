@@ -27,32 +27,42 @@ def power(n: int) -> np.uint64:
     return np.uint64(pow(int(BASE), n, 1 << 64))
 
 
-def deal(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """``bucket, uid, doc_id, text`` (null text: empty; uid: the row), the number of buckets, and the bytes of text."""
+def deal(docs: DataFrame, keep: tuple[str, ...] = (), uid: str | None = None) -> tuple[DataFrame, int, int]:
+    """``bucket, uid, doc_id, text, was_null, k0, k1 ...``, the number of buckets, and the bytes of text.
+
+    A null text is empty. k0 and so on are the columns of keep. uid numbers the rows: a column of docs, or where none is
+    given a number made here, which holds as long as docs is read in the same way (a table does).
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.select(F.pmod(F.xxhash64("uid"), F.lit(buckets)).cast("int").alias("bucket"), "uid", "doc_id", "text"), buckets, total
+    number = F.col(uid) if uid else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.col("text").isNull().alias("was_null"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    return rows.select(F.pmod(F.xxhash64("uid"), F.lit(buckets)).cast("int").alias("bucket"), "*"), buckets, total
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Sorted distinct uint64 as differences: 4 bytes each where they fit."""
+def squeeze(values: np.ndarray) -> bytes:
+    """Compressed, bytes of equal weight together."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b"")
+
+
+def stretch(blob: bytes, kind: type) -> np.ndarray:
     import zstandard
 
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Sorted uint64 as differences: 4 bytes each where they fit."""
     gaps = np.diff(values, prepend=np.uint64(0))
     wide = bool(len(gaps)) and int(gaps.max()) >> 32 != 0
-    raw = gaps.astype("<u8" if wide else "<u4")
-    planes = np.frombuffer(raw.tobytes(), np.uint8).reshape(len(raw), -1).T.tobytes()  # bytes of equal weight together
-    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(planes)
+    return bytes([wide]) + squeeze(gaps.astype("<u8" if wide else "<u4"))
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8)
-    width = 8 if blob[0] else 4
-    gaps = np.ascontiguousarray(planes.reshape(width, -1).T).view("<u8" if blob[0] else "<u4").ravel()
-    return np.cumsum(gaps.astype(np.uint64), dtype=np.uint64)
+    return np.cumsum(stretch(blob[1:], "<u8" if blob[0] else "<u4").astype(np.uint64), dtype=np.uint64)
 
 
 LOW = np.uint64((1 << 40) - 1)
@@ -82,15 +92,11 @@ def spread(codes: np.ndarray, counts: np.ndarray, bucket: int, groups: int) -> p
 
 
 def _pack_counts(n: np.ndarray) -> bytes:
-    import zstandard
-
-    return b"" if (n == 1).all() else zstandard.ZstdCompressor(level=1).compress(n.astype("<u4").tobytes())
+    return b"" if (n == 1).all() else squeeze(n.astype("<u4"))
 
 
 def _unpack_counts(blob: bytes, size: int) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4") if blob else np.ones(size, np.uint32)
+    return stretch(blob, "<u4") if blob else np.ones(size, np.uint32)
 
 
 SPREAD = "grp int, bucket int, codes binary, counts binary"

@@ -86,7 +86,7 @@ def _run(side: list[Column]) -> Column:
     return reduce(lambda acc, ok: F.when(F.coalesce(ok, F.lit(False)), acc + 1).otherwise(0), reversed(side), F.lit(0))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep_row: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, uid: str | None = None) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of docs.
 
     docs: ``doc_id, text``; benchmark: ``item_id, text``. A window is WINDOW consecutive words of an item, or a shorter
@@ -94,6 +94,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep_row: bool = False)
     holds a shared fingerprint; each such hit is extended by WINDOW-KGRAM words to either side by word hashes (64 bits a word) and
     counts if WINDOW words agree. Null or word-less texts have no words; items with a null id count under the name ''
     only if no other row has it; a repeated doc_id gives a row for each input row; repeated items count once by item_id.
+    uid: a column of docs that numbers its rows and is returned too.
 
     Plan: one scan, one Generate, a join with the benchmark's fingerprints (broadcast behind a check of their number,
     shuffled beyond it) and one aggregation by row; no text is shuffled.
@@ -105,7 +106,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep_row: bool = False)
     prints = prints.groupBy("bm", "bfp", "bctx").agg(F.collect_set("item").alias("items"))
     small = prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    base = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    base = docs.select("doc_id", "text", (F.col(uid) if uid else F.monotonically_increasing_id()).alias("_row"))
     rows = _fingerprints(base, ["_row", "doc_id"], shorts, False)
     on = (F.col("fp") == F.col("bfp")) & (F.col("m") == F.col("bm")) & (F.col("pos") >= 0)
     if small:  # word hashes are looked up in their array after the join, which moves nothing
@@ -130,7 +131,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep_row: bool = False)
     per = met.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("e"), F.lit(0).alias("n")), lambda acc, x: F.struct(F.greatest(acc["e"], x["e"]).alias("e"), (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["e"], x["s"]))).alias("n")))["n"]
     return per.select(
-        *["_row"] * keep_row,  # the row's monotonically_increasing_id in docs
+        *[F.col("_row").alias(uid)] if uid else [],
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
         covered.cast("long").alias("n_hit"),

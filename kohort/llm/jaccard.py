@@ -224,7 +224,7 @@ def _join_blocks(percent: int):
     return run
 
 
-def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_items: int = BLOCK_ITEMS, uid: str | None = None) -> DataFrame:
     """``uid, doc_id, n_shingles, component_id, first_uid`` for each row of docs.
 
     Words are what stands between ASCII spaces, A-Z lower-cased; a set is the distinct runs of words of a whole text, by
@@ -232,7 +232,8 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     that links with nothing. Two rows link when 100 * common >= percent * union. component_id is the least doc_id
     reachable by links, the row's own included. Rows with a null doc_id come after all others and name no component
     unless alone in it (null). Repeated rows link as copies do. first_uid is the uid of a component's first row, by doc_id
-    and uid; it alone tells components apart, as doc_ids can repeat or be null. An empty table gives no rows.
+    and uid; it alone tells components apart, as doc_ids can repeat or be null. uid: a column of docs that numbers its rows; without it one is made here. An empty
+    table gives no rows.
 
     Plan: texts are dealt evenly into buckets; distinct hashes of a bucket (four bytes each) are counted by hash. A set
     can link only if percent of it occurs elsewhere: all other texts end here. Equal sets become one class. Of the
@@ -243,7 +244,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     pairs are listed.
     """
     ship(docs.sparkSession)
-    rows, _, total = deal(docs)
+    rows, _, total = deal(docs, uid=uid)
     groups = max(1, math.ceil(total / 5 / GROUP_ITEMS))
 
     def grams(table: pa.Table) -> pa.Table:

@@ -45,7 +45,7 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("uid", "kept")
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

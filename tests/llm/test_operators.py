@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kohort.llm import bpe, chat, decontaminate, embeddings, jaccard, langid, licenses, sharding, suffixes, viterbi
+from kohort.llm import bpe, chat, dealing, decontaminate, embeddings, jaccard, langid, licenses, sharding, suffixes, viterbi
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, _row string, uid int"
@@ -150,24 +150,47 @@ def test_embeddings_against_brute_force(spark):
     assert got[200].component_id == min(links[200])
 
 
-def test_suffixes_against_brute_force(spark):
+def without_repeats(raw, ids):
+    """Brute force: the mask of removed bytes of each text; a null id comes last."""
+    out = []
+    for i, r in zip(ids, raw):
+        seen = {o[p : p + 50] for j, o in zip(ids, raw) if j is not None and (i is None or j < i) for p in range(len(o) - 49)}
+        mask = bytearray(len(r))
+        for p in range(len(r) - 49):
+            if r[p : p + 50] in seen:
+                mask[p : p + 50] = b"\1" * 50
+        out.append(mask)
+    return out
+
+
+@pytest.mark.parametrize("hot, bucket", [(suffixes.HOT, None), (3, None), (2, 4096)])
+def test_suffixes_against_brute_force(spark, monkeypatch, hot, bucket):
+    monkeypatch.setattr(suffixes, "BATCH", 200)  # several batches and levels
+    if bucket:
+        monkeypatch.setattr(dealing, "BUCKET_BYTES", bucket)
     texts = odd_texts()
     ids = [7, 7, None, *range(100, 100 + len(texts) - 3)]
     ids[10] = ids[9]  # equal texts under one doc_id don't remove each other
-    order = sorted(range(len(texts)), key=lambda k: (ids[k] is None, ids[k] or 0))
     raw = [(t or "").encode() for t in texts]
     want = []
-    for k in order:
-        seen = {raw[j][p : p + 50] for j in order if ids[j] is not None and (ids[k] is None or ids[j] < ids[k]) for p in range(len(raw[j]) - 49)}
-        mask = bytearray(len(raw[k]))
-        for p in range(len(mask) - 49):
-            if raw[k][p : p + 50] in seen:
-                mask[p : p + 50] = b"\1" * 50
-        kept = bytes(c for c, m in zip(raw[k], mask) if not m)
-        want.append(str((ids[k], len(mask), sum(mask), sum(mask[i] and not (i and mask[i - 1]) for i in range(len(mask))), hashlib.sha256(kept).hexdigest())))
-    got = [str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffixes.remove_repeats(docs(spark, texts, ids)).collect()]
+    for i, r, mask in zip(ids, raw, without_repeats(raw, ids)):
+        kept = bytes(c for c, m in zip(r, mask) if not m)
+        want.append(str((i, len(mask), sum(mask), sum(mask[i] and not (i and mask[i - 1]) for i in range(len(mask))), hashlib.sha256(kept).hexdigest())))
+    got = [str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffixes.remove_repeats(docs(spark, texts, ids), hot=hot).collect()]
     assert sorted(got) == sorted(want) and any("(0" not in w for w in want)
-    assert suffixes.remove_repeats(docs(spark, [])).count() == 0
+    if not bucket:
+        assert suffixes.remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_suffixes_of_long_texts(spark):
+    rng = random.Random(8)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    long = "".join(rng.choice("ijklmnop ") for _ in range(1_300_000))
+    texts = [long + common, "start " + common[:2000] + " end", common[500:] + long[1_048_000:1_049_000], "é" * 40 + common[:60], None]
+    raw = [(t or "").encode() for t in texts]
+    got = {r.doc_id: (r.n_removed, r.kept_sha256, r._row) for r in suffixes.remove_repeats(docs(spark, texts), keep=("doc_id", "_row")).collect()}
+    for i, (r, mask) in enumerate(zip(raw, without_repeats(raw, range(5)))):
+        assert got[i] == (sum(mask), hashlib.sha256(bytes(c for c, m in zip(r, mask) if not m)).hexdigest(), "x")
 
 
 def test_suffix_levels_grow_geometrically():
@@ -290,15 +313,3 @@ def licenses_bag(text):
     for g in zip(words, words[1:]):
         bag[g] = bag.get(g, 0) + 1
     return bag
-
-
-def test_bpe_positions_in_a_long_word(tmp_path):
-    import base64
-
-    tokens = [bytes([i]) for i in range(256)] + [b"ab", b"abc"]
-    path = tmp_path / "small.tiktoken"
-    path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
-    coder = bpe.Encoder(str(path), ".+")
-    text = "x" * 1_048_580 + "abc"
-    ids = np.frombuffer(coder.encode_batch([text])[0], "<u4")
-    assert len(ids) == 1_048_581 and ids[-1] == 257 and coder.decode(ids.tobytes()).decode() == text
