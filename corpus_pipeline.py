@@ -31,28 +31,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: the least doc_id, of rows with the same one the first."""
     own = _columns(docs)
-    groups = jaccard.join_components(docs)
-    numbered = docs.select(*own, F.monotonically_increasing_id().alias("_row"))  # the number that the join gives a row
-    first = groups.where("uid = first_uid").select(F.col("uid").alias("_row"))
+    numbered = docs.select(*own, F.monotonically_increasing_id().alias("_row"))
+    first = jaccard.join_components(numbered, uid="_row").where("uid = first_uid").select(F.col("uid").alias("_row"))
     return numbered.join(first, "_row", "left_semi").select(*own)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes repeated from earlier documents go; a document of which nothing is left goes, and so do cut characters."""
     own = _columns(docs)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    left = suffixes.remove_repeats(docs, as_text=True).where("n_removed > 0").select(F.col("uid").alias("_row"), "kept")
-    out = numbered.join(left, "_row", "left").withColumn("text", F.coalesce("kept", "text"))
-    out = out.where(F.col("kept").isNull() | (F.length("text") > 0))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*own) if "n_chars" in own else out.select(*own)
+    kept = suffixes.remove_repeats(docs, keep=tuple(c for c in own if c != "text"), as_text=True)
+    kept = kept.where((F.col("n_removed") == 0) | (F.length("kept") > 0)).withColumnRenamed("kept", "text")
+    if "n_chars" in own:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return kept.select(*own)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that hold a window of the benchmark."""
     own = _columns(docs)
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_row=True)
-    leaks = judged.where("contaminated").select("_row")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(leaks, "_row", "left_anti").select(*own)
+    numbered = docs.select(*own, F.monotonically_increasing_id().alias("_row"))
+    judged = decontaminate.decontaminate(numbered, table(spark, sf_dir, "benchmark"), uid="_row")
+    return numbered.join(judged.where("contaminated").select("_row"), "_row", "left_anti").select(*own)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
