@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,12 @@ from pyspark.sql import DataFrame
 
 from kohort.session import ship
 
-WORDS = 1 << 15  # new words that one recursive query contracts at most
-CACHE_BYTES = 128 << 20  # of a worker's words that are done
+PART_BYTES = 1 << 19  # of words that one recursive query contracts
+PIECE = 1 << 21  # characters that are split into words at a time
+ROWS = 1000  # worked on at a time
+PIECE_IDS = 1 << 19  # that one aggregation decodes
+CACHE_BYTES = 48 << 20  # of a task's words that are done
+STEP, OVERLAP = 240, 60  # bytes: a long word is contracted in stretches that overlap
 
 #: One row is a token of a word at a position. Each round joins neighbours to the merge table, takes the first of the
 #: pairs of least rank in every word and contracts it; a word without a pair comes out as it is and rests. Rank and
@@ -35,70 +40,135 @@ WITH RECURSIVE state(word, pos, tok, live) AS (
 SELECT word, list(tok ORDER BY pos) AS toks FROM state WHERE NOT live GROUP BY word
 """
 
+DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS text FROM given JOIN vocabulary USING (id) GROUP BY doc"
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class Encoder:
-    """Encodes words by rank: a word that is a token is that token, else its bytes are contracted pair by pair."""
+class Coder:
+    """Encodes words by rank (a word that is a token is that token, else its bytes are contracted) and decodes ids."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str | None = None):
         import duckdb
 
         self.ranks = load_ranks(path)
-        self.pattern = regex.compile(pattern)
-        self.size = 1 + max(self.ranks.values())
-        self.bytes_of = [b""] * self.size
+        self.pattern = regex.compile(pattern) if pattern is not None else None
+        size = 1 + max(self.ranks.values())
+        bytes_of = [b""] * size
         for token, rank in self.ranks.items():
-            self.bytes_of[rank] = token
-        self.width = np.array([len(x) for x in self.bytes_of], np.int64)
-        pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        a, b, made = (pa.array(np.array(x, np.int32)) for x in zip(*pairs))
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+            bytes_of[rank] = token
+        self.width = np.array([len(x) for x in bytes_of], np.int64)
+        # One thread, and no folder to spill to: parts are small, and a worker's disk is not for data.
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
-        given = pa.table({"a": a, "b": b, "made": made})
-        self.db.register("given", given)
-        self.db.execute("CREATE TABLE merges AS SELECT a, b, CAST(made AS BIGINT) AS made FROM given")
-        self.db.unregister("given")
+        # A byte is the character of its number, but for 0, which text in SQL had better not hold.
+        self._table("vocabulary", pa.table({"id": np.arange(size, dtype=np.int32), "piece": [x.decode("latin-1").replace("\0", "\u0100") for x in bytes_of]}))
+        if pattern is not None:
+            pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+            a, b, made = zip(*pairs) if pairs else ((), (), ())
+            self._table("merges", pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "made": pa.array(made, pa.int64())}))
+            self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.done: dict[str, bytes] = {}
         self.held = 0
 
-    def _contract(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian uint32."""
+    def close(self) -> None:
+        self.db.close()
+        self.done.clear()
+
+    def _table(self, name: str, rows: pa.Table) -> None:
+        self.db.register("rows", rows)
+        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
+        self.db.unregister("rows")
+
+    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
-        single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        start = pa.table({"word": np.repeat(np.arange(len(words)), lengths), "pos": np.arange(len(flat)) - first, "tok": single[flat]})
-        self.db.register("start", start)
+        self.db.register("start", pa.table({"word": np.repeat(np.arange(len(words)), lengths), "pos": np.arange(len(flat)) - first, "tok": self.single[flat]}))
         got = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("start")
-        out: list[bytes] = [b""] * len(words)
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(words)
         toks = got.column("toks").combine_chunks()
-        flat_ids, ends = toks.flatten().to_numpy(zero_copy_only=False).astype("<u4"), toks.offsets.to_numpy()
+        ids, ends = toks.flatten().to_numpy(zero_copy_only=False).astype("<u4"), toks.offsets.to_numpy()
         ends = ends - ends[0]
         for i, w in enumerate(got.column("word").to_pylist()):
-            out[w] = flat_ids[ends[i] : ends[i + 1]].tobytes()
+            out[w] = ids[ends[i] : ends[i + 1]]
+        return out
+
+    def _stitch(self, begins: list[int], parts: list[np.ndarray]) -> np.ndarray | None:
+        """The ids of a word from those of stretches that overlap; None if two of them have no token in common there.
+
+        A sequence of tokens is the encoding of its bytes if and only if each two neighbours are that of theirs: up to
+        the first contraction across a boundary of the sequence, all go on inside its tokens, in the order in which they
+        would for the two neighbours alone, which would hence make that contraction too. So two encodings that share a
+        token, one up to it and the other from it, together are the encoding of all bytes.
+        """
+        out, spans = parts[0], begins[0] + np.cumsum(self.width[parts[0]])
+        for begin, part in zip(begins[1:], parts[1:]):
+            ends = begin + np.cumsum(self.width[part])
+            tail = int(np.searchsorted(spans, begin, side="right"))
+            mine = {(e - int(self.width[t]), e): i for i, (e, t) in enumerate(zip(spans[tail:].tolist(), out[tail:].tolist()), tail)}
+            for j, (e, t) in enumerate(zip(ends.tolist(), part.tolist())):
+                i = mine.get((e - int(self.width[t]), e))
+                if i is not None:
+                    out, spans = np.concatenate([out[: i + 1], part[j + 1 :]]), np.concatenate([spans[: i + 1], ends[j + 1 :]])
+                    break
+            else:
+                return None
+        return out
+
+    def _encode_long(self, words: list[bytes], step: int = STEP) -> list[bytes]:
+        """Words of any length in time about linear in it."""
+        begins = [list(range(0, max(1, len(w) - OVERLAP), step)) for w in words]
+        parts = iter(self._encode_parts([w[a : a + step + OVERLAP] for w, at in zip(words, begins) for a in at]))
+        out = []
+        for w, at in zip(words, begins):
+            got = self._stitch(at, [next(parts) for _ in at])
+            out.append(self._encode_long([w], step * 4)[0] if got is None else got.tobytes())
+        return out
+
+    def _encode_parts(self, parts: list[bytes]) -> list[np.ndarray]:
+        """PART_BYTES at a time, parts of like lengths together: they need as many rounds."""
+        out: list = [None] * len(parts)
+        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+        at = 0
+        while at < len(order):
+            upto, n = at, 0
+            while upto < len(order) and (upto == at or n + len(parts[order[upto]]) <= PART_BYTES):
+                n += len(parts[order[upto]])
+                upto += 1
+            for i, ids in zip(order[at:upto], self._contract([parts[i] for i in order[at:upto]])):
+                out[i] = ids
+            at = upto
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Words that are not known yet are contracted, WORDS at a time."""
-        rest: list[str] = []
+        """Contract words that are not known yet."""
+        rest: list[tuple[str, bytes]] = []
         for w in words:
             raw = w.encode("utf-8", "surrogatepass")
             rank = self.ranks.get(raw)
             if rank is None:
-                rest.append(w)
+                rest.append((w, raw))
             else:
                 self.done[w] = rank.to_bytes(4, "little")
-        for at in range(0, len(rest), WORDS):
-            part = rest[at : at + WORDS]
-            self.done.update(zip(part, self._contract([w.encode("utf-8", "surrogatepass") for w in part])))
-        self.held += sum(len(w) for w in words) + 150 * len(words)
+        self.done.update(zip([w for w, _ in rest], self._encode_long([raw for _, raw in rest])))
+        self.held += sum(map(len, words)) + 150 * len(words)
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.pattern.findall(t) for t in texts]
+    def _words(self, text: str) -> Iterator[list[str]]:
+        """The words of a text; those of a long one some at a time."""
+        if len(text) <= PIECE:
+            yield self.pattern.findall(text)
+            return
+        found = (m.group() for m in self.pattern.finditer(text))
+        while part := list(itertools.islice(found, PIECE // 8)):
+            yield part
+
+    def _ids(self, split: list[list[str]]) -> list[bytes]:
         new: set[str] = set()
         for words in split:
             new.update(words)
@@ -110,18 +180,36 @@ class Encoder:
         get = self.done.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            upto, n = at, 0
+            while upto < len(texts) and (upto == at or n + len(texts[upto]) <= PIECE):
+                n += len(texts[upto])
+                upto += 1
+            if upto == at + 1:
+                out.append(b"".join(self._ids([words])[0] for words in self._words(texts[at])))
+            else:
+                out += self._ids([self.pattern.findall(t) for t in texts[at:upto]])
+            at = upto
+        return out
 
-def encoder(path: str, pattern: str) -> Encoder:
-    """One for each worker: its words stay known from task to task."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    def decode(self, texts: list[bytes]) -> list[bytes]:
+        """The bytes of each text's ids: they join the vocabulary, and an aggregation puts pieces in the order of positions."""
+        out = [b""] * len(texts)
+        counts = np.fromiter((len(x) // 4 for x in texts), np.int64, len(texts))
+        flat = np.frombuffer(b"".join(texts), "<u4").astype(np.int32)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+        for at in range(0, len(flat), PIECE_IDS):
+            part = slice(at, at + PIECE_IDS)
+            self.db.register("given", pa.table({"doc": doc[part], "pos": np.arange(len(flat[part]), dtype=np.int32), "id": flat[part]}))
+            got = self.db.sql(DECODE).to_arrow_table()
+            self.db.unregister("given")
+            for i, text in zip(got.column("doc").to_pylist(), got.column("text")):
+                out[i] += text.as_py().replace("\u0100", "\0").encode("latin-1")
+        return out
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
@@ -129,22 +217,55 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) ->
 
     path: a .tiktoken file that every worker can read; pattern: what parts a text into words. Words are encoded apart,
     without special tokens. A null text is empty: no tokens, and the digests of nothing. Ties of a rank cannot occur;
-    of equal pairs the leftmost is contracted. A repeated row gives a row of its own. No shuffle: words of a batch are
-    made distinct, new ones are contracted by one recursive query, and a worker keeps at most CACHE_BYTES of them.
+    of equal pairs the leftmost is contracted. A repeated row gives a row of its own. No rows give no rows.
+
+    Plan: no shuffle; words of PIECE characters are made distinct, new ones are contracted by recursive queries of
+    PART_BYTES, a word longer than STEP in stretches. What a task keeps (CACHE_BYTES of words) goes with it.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, pattern)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids = coder.encode_batch(texts)
-            sha = lambda x: hashlib.sha256(x).hexdigest()
-            cols = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(coder.decode(x)) for x in ids], pa.string())]
-            if keep_ids:
-                cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
+        coder = None
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for whole in batches:
+            coder = coder or Coder(path, pattern)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                ids = coder.encode([x or "" for x in batch.column(1).to_pylist()])
+                cols = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, coder.decode(ids)), pa.string())]
+                if keep_ids:
+                    cols.append(_as_lists(ids))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
+        if coder:
+            coder.close()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _as_lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``doc_id, decoded`` (bytes) for each row of ``doc_id, ids`` (array<int>).
+
+    Null or no ids give no bytes; a null among them, or a number that the vocabulary hasn't, counts as nothing.
+    """
+    ship(encoded.sparkSession)
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = None
+        for whole in batches:
+            coder = coder or Coder(path)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                ids = [np.array([-1 if i is None else i for i in x or ()], "<i4").tobytes() for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coder.decode(ids), pa.binary())], names=["doc_id", "decoded"])
+        if coder:
+            coder.close()
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded binary")
