@@ -12,13 +12,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from kohort.llm import workers
 from kohort.session import ship
 
 PART_BYTES = 1 << 19  # of words that one recursive query contracts
 PIECE = 1 << 21  # characters that are split into words at a time
 ROWS = 1000  # worked on at a time
 PIECE_IDS = 1 << 19  # that one aggregation decodes
-CACHE_BYTES = 48 << 20  # of a task's words that are done
+CACHE_BYTES = 128 << 20  # of a worker's words that are done
 STEP, OVERLAP = 240, 60  # bytes: a long word is contracted in stretches that overlap
 
 #: One row is a token of a word at a position. Each round joins neighbours to the merge table, takes the first of the
@@ -83,7 +84,7 @@ class Coder:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
         self.db.unregister("rows")
 
-    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+    def _contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
@@ -91,10 +92,10 @@ class Coder:
         self.db.register("start", pa.table({"word": np.repeat(np.arange(len(words)), lengths), "pos": np.arange(len(flat)) - first, "tok": self.single[flat]}))
         got = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("start")
-        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(words)
+        out = [b""] * len(words)
         toks = got.column("toks").combine_chunks()
-        ids, ends = toks.flatten().to_numpy(zero_copy_only=False).astype("<u4"), toks.offsets.to_numpy()
-        ends = ends - ends[0]
+        ids, ends = toks.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), toks.offsets.to_numpy()
+        ends = (4 * (ends - ends[0])).tolist()
         for i, w in enumerate(got.column("word").to_pylist()):
             out[w] = ids[ends[i] : ends[i + 1]]
         return out
@@ -121,17 +122,21 @@ class Coder:
                 return None
         return out
 
-    def _encode_long(self, words: list[bytes], step: int = STEP) -> list[bytes]:
+    def _encode_words(self, words: list[bytes], step: int = STEP) -> list[bytes]:
         """Words of any length in time about linear in it."""
-        begins = [list(range(0, max(1, len(w) - OVERLAP), step)) for w in words]
-        parts = iter(self._encode_parts([w[a : a + step + OVERLAP] for w, at in zip(words, begins) for a in at]))
-        out = []
-        for w, at in zip(words, begins):
-            got = self._stitch(at, [next(parts) for _ in at])
-            out.append(self._encode_long([w], step * 4)[0] if got is None else got.tobytes())
+        parts = [w for w in words if len(w) <= step + OVERLAP]
+        begins = [range(0, len(w) - OVERLAP, step) for w in words if len(w) > step + OVERLAP]
+        long = [w for w in words if len(w) > step + OVERLAP]
+        parts += [w[a : a + step + OVERLAP] for w, at in zip(long, begins) for a in at]
+        done = iter(self._encode_parts(parts))
+        out = [next(done) if len(w) <= step + OVERLAP else b"" for w in words]
+        stitched = (self._stitch(list(at), [np.frombuffer(next(done), "<u4") for _ in at]) for at in begins)
+        for i in (i for i, w in enumerate(words) if len(w) > step + OVERLAP):
+            got = next(stitched)
+            out[i] = self._encode_words([words[i]], step * 4)[0] if got is None else got.tobytes()
         return out
 
-    def _encode_parts(self, parts: list[bytes]) -> list[np.ndarray]:
+    def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
         """PART_BYTES at a time, parts of like lengths together: they need as many rounds."""
         out: list = [None] * len(parts)
         order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
@@ -156,7 +161,7 @@ class Coder:
                 rest.append((w, raw))
             else:
                 self.done[w] = rank.to_bytes(4, "little")
-        self.done.update(zip([w for w, _ in rest], self._encode_long([raw for _, raw in rest])))
+        self.done.update(zip([w for w, _ in rest], self._encode_words([raw for _, raw in rest])))
         self.held += sum(map(len, words)) + 150 * len(words)
 
     def _words(self, text: str) -> Iterator[list[str]]:
@@ -220,17 +225,16 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) ->
     of equal pairs the leftmost is contracted. A repeated row gives a row of its own. No rows give no rows.
 
     Plan: no shuffle; words of PIECE characters are made distinct, new ones are contracted by recursive queries of
-    PART_BYTES, a word longer than STEP in stretches. What a task keeps (CACHE_BYTES of words) goes with it.
+    PART_BYTES, a word longer than STEP in stretches. A worker keeps CACHE_BYTES of words from task to task.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for whole in batches:
-            coder = coder or Coder(path, pattern)
+            coder = workers.hold(("bpe", path, pattern), lambda: Coder(path, pattern))
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 ids = coder.encode([x or "" for x in batch.column(1).to_pylist()])
@@ -238,8 +242,6 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) ->
                 if keep_ids:
                     cols.append(_as_lists(ids))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
-        if coder:
-            coder.close()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -258,14 +260,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
         for whole in batches:
-            coder = coder or Coder(path)
+            coder = workers.hold(("bpe", path, None), lambda: Coder(path))
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 ids = [np.array([-1 if i is None else i for i in x or ()], "<i4").tobytes() for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coder.decode(ids), pa.binary())], names=["doc_id", "decoded"])
-        if coder:
-            coder.close()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded binary")

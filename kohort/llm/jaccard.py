@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kohort.llm import workers
 from kohort.llm.dealing import BASE, BYTE_VALUES, GROUP_ITEMS, SPREAD, counts_of, deal, gathered, key_of, mix, shared, spread
 from kohort.operators.components import connected_components
 from kohort.session import cut, ship
@@ -248,6 +249,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     groups = max(1, math.ceil(total / 5 / GROUP_ITEMS))
 
     def grams(table: pa.Table) -> pa.Table:
+        workers.drop()
         bucket = table.column("bucket")[0].as_py()
         sets = {s.tobytes(): s for s in (shingles(x.as_py(), words) for x in table.column("text"))}
         every = np.concatenate(list(sets.values()))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kohort.llm import workers
 from kohort.session import ship
 
 BUCKETS = 1 << 15  # hashed n-grams of a language model
@@ -75,6 +76,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.drop()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1)):
@@ -154,6 +156,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, keep: tuple[str
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.drop()
         langs, logp = model.value
         for batch in batches:
             pred, score, mixed = [], [], []

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kohort.llm import workers
 from kohort.llm.dealing import BYTE_VALUES, LOW, SPREAD, counts_of, deal, gathered, key_of, mix, pack, power, shared, spread, squeeze, stretch, unpack
 from kohort.session import ship, shuffle_partitions
 
@@ -226,6 +227,7 @@ def _repeats(dealt: tuple[DataFrame, int, int], length: int, hot: int) -> tuple[
     groups = max(shuffle_partitions(rows.sparkSession), math.ceil(total / (length - GRAM + 2) * 2 / GROUP_ANCHORS))
 
     def anchors(table: pa.Table) -> pa.Table:
+        workers.drop()
         data, sizes = _joined(table)
         first, _, codes, _ = anchored(data, sizes, length)
         # An anchor counts once a text: order by text and hash, then by hash.

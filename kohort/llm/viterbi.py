@@ -9,6 +9,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from kohort.llm import workers
 from kohort.session import ship
 
 SPACE = "▁"
@@ -78,6 +79,9 @@ class Counter:
         self.done: dict[str, int] = {}
         self.held = 0
 
+    def close(self) -> None:
+        self.done.clear()
+
     def count_unit(self, unit: str) -> int:
         n = len(unit)
         score, count, unk = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
@@ -143,15 +147,6 @@ class Counter:
         return total
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
-def counter(path: str) -> Counter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(load_pieces(path))
-    return _COUNTERS[path]
-
-
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens`` for each row: pieces of the best segmentation of the whole text.
 
@@ -162,8 +157,8 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = counter(path)
         for batch in batches:
+            model = workers.hold(("viterbi", path), lambda: Counter(load_pieces(path)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.count(x.as_py() or "") for x in batch.column(1)], pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long")

@@ -46,7 +46,7 @@ def test_bpe_stitches_exactly_with_short_overlaps(monkeypatch, tmp_path):
             f.writelines(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens))
         coder = bpe.Coder(path, "[a-z]+")
         words = ["".join(rng.choices("abc", k=rng.randint(1, 90))) for _ in range(60)]
-        for w, ids in zip(words, coder._encode_long([w.encode() for w in words], 12)):
+        for w, ids in zip(words, coder._encode_words([w.encode() for w in words], 12)):
             assert np.frombuffer(ids, "<u4").tolist() == plain(w.encode(), ranks)
 
 
