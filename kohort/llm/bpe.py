@@ -29,14 +29,13 @@ CONTRACT = """
 WITH RECURSIVE state(word, pos, tok, live) AS (
     SELECT word, pos, tok, true FROM start
   UNION ALL
-    (WITH paired AS (
-        SELECT word, pos, tok, lead(tok) OVER w AS nxt, lag(pos) OVER w AS prv FROM state WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ), ranked AS (
-        SELECT p.word, p.pos, p.prv, p.tok, min(m.made * 4294967296 + p.pos) OVER (PARTITION BY p.word) AS best
-        FROM paired p LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b
-    )
-    SELECT word, pos, CASE WHEN best % 4294967296 = pos THEN best // 4294967296 ELSE tok END, best IS NOT NULL
-    FROM ranked WHERE best IS NULL OR prv IS NULL OR prv <> best % 4294967296)
+    (WITH paired AS MATERIALIZED (
+        SELECT p.word, p.pos, p.tok, p.prv, m.made * 4294967296 + p.pos AS pair
+        FROM (SELECT word, pos, tok, lead(tok) OVER w AS nxt, lag(pos) OVER w AS prv FROM state WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)) p
+        LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b
+    ), least AS (SELECT word, min(pair) AS best FROM paired GROUP BY word)
+    SELECT word, pos, CASE WHEN best = pair THEN best // 4294967296 ELSE tok END, best IS NOT NULL
+    FROM paired JOIN least USING (word) WHERE best IS NULL OR prv IS NULL OR prv <> best % 4294967296)
 )
 SELECT word, list(tok ORDER BY pos) AS toks FROM state WHERE NOT live GROUP BY word
 """
