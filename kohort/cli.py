@@ -20,12 +20,18 @@ def main(argv: list[str] | None = None) -> int:
     verbs = top.add_subparsers(dest="verb", required=True)
     for name, options in {
         "select-dev": ("gold", "scores", "out"), "lock-thetas": ("scans*", "out"), "evaluate": ("gold", "scores", "theta", "out"), "evaluate-folds": ("gold*", "scores*", "lock", "out"),
-        "freeze": ("assets*", "out"), "verify": ("manifest",), "prepare-train": ("pairs*", "out"),
+        "freeze": ("assets*", "out"), "verify": ("manifest",), "prepare-train": ("script", "splits", "out"),
     }.items():
         p = verbs.add_parser(name)
         for o in options:
             p.add_argument(f"--{o.rstrip('*')}", required=True, **({"nargs": "+"} if o.endswith("*") else {}))
-        p.add_argument("--edge-rule", default="mutual", choices=("mutual", "either"))
+        if name in ("select-dev", "evaluate", "evaluate-folds"):
+            p.add_argument("--edge-rule", default="mutual", choices=("mutual", "either"))
+        if name.startswith("evaluate"):
+            p.add_argument("--backend", default="sparse", choices=("sparse", "dense"))
+        if name == "prepare-train":
+            p.add_argument("--interpreter", default="python")
+            p.add_argument("args", nargs="*", help="of the script, after --")
     a = top.parse_args(argv)
     spark = lambda: local_session()
     gold = lambda path: readers.gold_csv(spark(), path).select("report_id", readers.F.col("event_id").alias("gold"))
@@ -35,20 +41,18 @@ def main(argv: list[str] | None = None) -> int:
     elif a.verb == "lock-thetas":
         writers.write_json_atomic(a.out, workflows.lock_thresholds({k: load(p) for k, p in numbered(a.scans).items()}))
     elif a.verb == "evaluate":
-        row = workflows.evaluate_locked(gold(a.gold), readers.scored_pairs(spark(), a.scores), float(a.theta), a.edge_rule).first()
+        row = workflows.evaluate_locked(gold(a.gold), readers.scored_pairs(spark(), a.scores), float(a.theta), a.edge_rule, a.backend).first()
         writers.write_json_atomic(a.out, row.asDict())
     elif a.verb == "evaluate-folds":
         g, s = numbered(a.gold), numbered(a.scores)
-        rows, summary = workflows.evaluate_folds({k: gold(p) for k, p in g.items()}, {k: readers.scored_pairs(spark(), p) for k, p in s.items()}, load(a.lock), a.edge_rule)
+        rows, summary = workflows.evaluate_folds({k: gold(p) for k, p in g.items()}, {k: readers.scored_pairs(spark(), p) for k, p in s.items()}, load(a.lock), a.edge_rule, a.backend)
         writers.write_json_atomic(a.out, {"folds": [r.asDict() for r in rows.collect()], "summary": [r.asDict() for r in summary.collect()]})
     elif a.verb == "freeze":
         writers.freeze_manifest(dict(x.split("=", 1) for x in a.assets), a.out)
     elif a.verb == "verify":
         writers.verify_manifest(a.manifest)
     else:
-        if any("test" in p or "chinese" in p for p in a.pairs):
-            raise SystemExit("training takes train and dev pairs only")
-        writers.write_json_atomic(a.out, {"pairs": a.pairs})
+        writers.write_json_atomic(a.out, workflows.training_handoff(a.script, a.splits, a.interpreter, a.args))
     return 0
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What Python's str.strip() takes for white space.
-STRIPPED = r"[\x1c-\x1f\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 MISSING = "__MISSING__"
 
 
@@ -17,7 +18,8 @@ def _col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"^{STRIPPED}+|{STRIPPED}+$", "")
+    """Without white space at the ends, of which SPACES lists every character."""
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def norm_id(c: Column | str) -> Column:
@@ -25,6 +27,13 @@ def norm_id(c: Column | str) -> Column:
     return strip(_col(c).cast("string"))
 
 
+def text_of(df: DataFrame, name: str) -> Column:
+    """A column as text: lists, structs and maps as JSON, other values as they print, null as nothing."""
+    kind = df.schema[name].dataType
+    nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType))
+    return F.coalesce(F.to_json(name) if nested else F.col(name).cast("string"), F.lit(""))
+
+
 def clip(c: Column | str, n: int) -> Column:
     """Stripped, then cut at n code points; null is empty."""
     return F.substring(strip(F.coalesce(_col(c).cast("string"), F.lit(""))), 1, n)
@@ -59,7 +68,9 @@ def distance(score: Column | str) -> Column:
 
 
 def choose2(n: Column | str) -> Column:
-    return (_col(n).cast("long") * (_col(n).cast("long") - 1) / 2).cast("long")
+    """Pairs of n things, exact: half of the even one of n and n - 1 times the other, as decimal(38,0)."""
+    n = _col(n).cast("long")
+    return (F.shiftright(n, 1).cast("decimal(18,0)") * (n - 1 + n.bitwiseAND(F.lit(1))).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def cluster_f1(common: Column | str, a: Column | str, b: Column | str) -> Column:
@@ -113,6 +124,14 @@ def first_present(*names: str) -> Column:
     return F.coalesce(*[F.col(n) for n in names])
 
 
+def integer_grid(low: float, high: float, step: float = 0.01) -> list[float]:
+    """Thresholds in whole hundredths, the upper end included where a step meets it; low must be under high."""
+    lo, hi, by = (Decimal(str(x)) * 100 for x in (low, high, step))
+    if any(x != int(x) for x in (lo, hi, by)) or not lo < hi or by <= 0:
+        raise ValueError("thresholds and step are hundredths, the lower end under the upper one")
+    return [n / 100 for n in range(int(lo), int(hi) + 1, int(by))]
+
+
 def theta_grid(low: str | float = "0.10", high: str | float = "0.95", step: str | float = "0.01") -> list[float]:
     """Thresholds in decimal steps, the upper end included."""
     lo, hi, by = (Decimal(str(x)) for x in (low, high, step))

@@ -15,15 +15,18 @@ EPS = 1e-12
 def directed_scores(pairs: DataFrame, query: str = "query_id", candidate: str = "candidate_id", score: str = "probability", lenient: bool = False) -> DataFrame:
     """``src, dst, score``: the best of repeated pairs, without self pairs.
 
-    Strict: a score that is null, no number or out of [0, 1] raises. Lenient: null and non-finite rows go, others are clamped.
+    Strict: a score that is null, no number or out of [0, 1] raises, and so does a null or empty id. Lenient: rows without
+    two ids or a finite score go, other scores are clamped.
     """
     s = F.col(score).cast("double")
     rows = pairs.select(norm_id(query).alias("src"), norm_id(candidate).alias("dst"), s.alias("score"))
     fine = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
+    named = (F.coalesce("src", F.lit("")) != "") & (F.coalesce("dst", F.lit("")) != "")
     if lenient:
-        rows = rows.where(fine).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
+        rows = rows.where(fine & named).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
     else:
         require(rows.where(~F.coalesce(fine & F.col("score").between(0, 1), F.lit(False))), "scores must be in [0, 1]")
+        require(rows.where(~named), "ids must not be empty")
     return rows.where("src <> dst").groupBy("src", "dst").agg(F.max("score").alias("score"))
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kohort.functions.scalars import norm_id
 from kohort.operators.graph import EPS, components, threshold_edges
-from kohort.session import ship
+from kohort.operators.ordering import numbered
+from kohort.operators.validation import require
+from kohort.session import cut, ship
 
 
 def merge_history(n: int, edges: list[tuple[int, int, float]], cut: float) -> list[tuple[int, int, int, float]]:
@@ -104,20 +108,81 @@ def clique_violations(clusters: DataFrame, edges: DataFrame, theta: float) -> Da
     return pairs.crossJoin(inside).select("pairs", "edges", (F.col("pairs") - F.col("edges")).alias("violations"))
 
 
-def cluster_events(nodes: DataFrame, pairs: DataFrame, theta: float, rule: str = "mutual", node: str = "node") -> DataFrame:
-    """Scores to clusters in one call: best of repeats, undirected edges, threshold, components, linkage."""
+def dense_merges(distance: np.ndarray, cut: float) -> list[list[int]]:
+    """Complete linkage on a full matrix, in which pairs without a score are 1 apart: nearest pair, greatest distances, again."""
+    d = np.array(distance, float)
+    np.fill_diagonal(d, np.inf)
+    groups = {i: [i] for i in range(len(d))}
+    while len(groups) > 1:
+        a, b = sorted(divmod(int(d.argmin()), len(d)))
+        if d[a, b] > cut + EPS:
+            break
+        groups[a] += groups.pop(b)
+        d[a] = d[:, a] = np.maximum(d[a], d[b])
+        d[b] = d[:, b] = d[a, a] = np.inf
+    return sorted(sorted(g) for g in groups.values())
+
+
+def dense_linkage(nodes: DataFrame, edges: DataFrame, theta: float, node: str = "node", most: int = 5000) -> DataFrame:
+    """complete_linkage by full matrices: a second opinion for components of at most ``most`` nodes (others raise).
+
+    Equal where no two distances tie; of tied pairs another may merge first.
+    """
+    ship(nodes.sparkSession)
+    kept = threshold_edges(edges, theta)
+    comp = components(nodes, kept, node)
+    require(comp.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most), "components too large for full matrices")
+    own = kept.join(comp.select(F.col(node).alias("u"), "component"), "u").select("component", "u", "v", "w")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*pdf["u"], *pdf["v"]})
+        at = {x: i for i, x in enumerate(names)}
+        d = np.ones((len(names), len(names)))
+        for u, v, w in zip(pdf["u"], pdf["v"], pdf["w"]):
+            d[at[u], at[v]] = d[at[v], at[u]] = 1.0 - w
+        return pd.DataFrame([(names[i], names[g[0]]) for g in dense_merges(d, 1.0 - theta) for i in g], columns=["node", "cluster"])
+
+    linked = own.groupBy("component").applyInPandas(link, "node string, cluster string")
+    return nodes.select(F.col(node).alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
+
+
+def cluster_events(nodes: DataFrame, pairs: DataFrame, theta: float, rule: str = "mutual", node: str = "node", backend: str = "sparse") -> DataFrame:
+    """Scores to clusters in one call: best of repeats, undirected edges, threshold, components, linkage.
+
+    Ids are stripped on both sides; what comes out is a partition of the nodes, each once, or an error.
+    """
     from kohort.operators.graph import directed_scores, undirected_edges
-    from kohort.operators.validation import candidate_violations, duplicate_ids, require
+    from kohort.operators.validation import candidate_violations, duplicate_ids, partition_violations
 
+    if backend not in ("sparse", "dense"):
+        raise ValueError(f"unknown backend {backend!r}")
     require(duplicate_ids(nodes, node), "nodes must be unique and not empty")
+    nodes = nodes.select(norm_id(node).alias(node))
     bad = candidate_violations(pairs, nodes, node=node).where("why <> 'no query' and why <> 'self'")
     require(bad, "scores outside the nodes")
-    return complete_linkage(nodes, undirected_edges(directed_scores(pairs), rule), theta, node)
+    out = cut((complete_linkage if backend == "sparse" else dense_linkage)(nodes, undirected_edges(directed_scores(pairs), rule), theta, node))
+    require(partition_violations(out, nodes.withColumnRenamed(node, "node"), "node", "cluster"), "the clusters are no partition")
+    return out
+
+
+def cluster_numbers(clusters: DataFrame) -> DataFrame:
+    """``cluster, cluster_id, size``: numbers from 0 in the order of least members, whatever the number of clusters."""
+    return numbered(clusters.groupBy("cluster").agg(F.count("*").alias("size")), ["cluster"], "cluster_id")
 
 
-def materialise(clusters: DataFrame) -> DataFrame:
-    """``cluster_id, size, members``: numbered by least member. For export: numbering sorts the clusters, not the rows."""
-    from pyspark.sql import Window
+def materialise(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``cluster_id, size, members`` for export, and the inverse map ``node, cluster_id``.
+
+    A cluster's members stand in one row; a cluster of more than some ten million ids should be exported from the map.
+    """
+    ids = cut(cluster_numbers(clusters))
+    inverse = clusters.join(ids, "cluster").select("node", "cluster_id", "size")
+    groups = inverse.groupBy("cluster_id", "size").agg(F.array_sort(F.collect_list("node")).alias("members"))
+    return groups, inverse.select("node", "cluster_id")
+
 
-    groups = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members"))
-    return groups.withColumn("cluster_id", F.row_number().over(Window.orderBy("cluster")) - 1).select("cluster_id", "size", "members")
+def size_statistics(clusters: DataFrame, top: int = 10) -> DataFrame:
+    """One row: clusters, nodes, singletons, the greatest size, and the ``top`` greatest sizes in order."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    most = sizes.orderBy(F.desc("size")).limit(top).agg(F.sort_array(F.collect_list("size"), asc=False).alias("top_sizes"))
+    return sizes.agg(F.count("*").alias("clusters"), F.sum("size").alias("nodes"), F.count_if(F.col("size") == 1).alias("singletons"), F.max("size").alias("largest")).crossJoin(most)

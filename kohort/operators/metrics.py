@@ -35,7 +35,7 @@ def _f1(p: str, r: str):
 
 
 def pairwise(table: DataFrame) -> DataFrame:
-    """One row: ``tp, fp, fn, precision, recall, f1`` of induced pairs; 0.0 for an empty denominator."""
+    """One row: ``tp, fp, fn, precision, recall, f1`` of induced pairs, counted as decimal(38,0); 0.0 for an empty denominator."""
     a, b = sizes(table)
     out = table.agg(F.sum(choose2("n")).alias("tp")).crossJoin(a.agg(F.sum(choose2("a")).alias("ga"))).crossJoin(b.agg(F.sum(choose2("b")).alias("pb")))
     out = out.select("tp", (F.col("pb") - F.col("tp")).alias("fp"), (F.col("ga") - F.col("tp")).alias("fn"))

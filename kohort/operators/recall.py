@@ -9,16 +9,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kohort.functions.scalars import fuse_score
-from kohort.session import ship
+from kohort.functions.scalars import fuse_score, norm_id
+from kohort.session import cut, ship
 
 BLOCK = 2048  # vectors of either side in one matrix product
 PROBE_QUERIES = 256  # queries that measure the probes of an approximate search
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, vector: str = "vec", key: str = "id", block: int = BLOCK) -> DataFrame:
+def _greatest(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the k greatest of each row, and those scores; of equal ones the lesser columns. Only the ends are sorted."""
+    n = scores.shape[1]
+    if n > 4 * k:
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]  # all that may be among the k, ties included
+        rows, cols = np.nonzero(scores >= least)
+        order = np.lexsort((cols, -scores[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        begin = np.searchsorted(rows, np.arange(len(scores)))
+        top = cols[begin[:, None] + np.arange(k)]
+    else:
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return top, np.take_along_axis(scores, top, 1)
+
+
+_FOUND = "query_id string, candidate_id string, score double"
+
+
+def _best(k: int, metric: str = "cosine"):
+    """The k greatest scores of each query of a block (left) among a block of the base (right)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        def side(t: pa.Table) -> tuple[pa.Array, np.ndarray]:
+            t = t.sort_by("id")
+            x = np.asarray(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(t.num_rows, -1)
+            return t.column("id").combine_chunks(), x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x
+
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.string()), "candidate_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        (qi, qv), (ci, cv) = side(left), side(right)
+        s = qv @ cv.T
+        if metric == "l2":
+            s = 2 * s - (qv * qv).sum(1)[:, None] - (cv * cv).sum(1)[None, :]
+        top, s = _greatest(np.round(s, 12), k)
+        return pa.table({"query_id": qi.take(pa.array(np.repeat(np.arange(len(qi)), top.shape[1]))), "candidate_id": ci.take(pa.array(top.ravel())), "score": pa.array(s.ravel())})
+
+    return run
+
+
+def knn(queries: DataFrame, base: DataFrame, k: int, vector: str = "vec", key: str = "id", block: int = BLOCK, metric: str = "cosine") -> DataFrame:
     """Exact ``query_id, candidate_id, score, rank``: the k greatest cosines, the query itself included if it is in base.
 
+    metric: ``cosine``, ``ip`` (inner products) or ``l2`` (negative squared distances).
+
     Both sides are dealt by hash into blocks; a task multiplies a block of queries with one of base and keeps k for each
     query, so that memory is bounded and k rows a block pair are shuffled. Ties go to the lesser id. Null and zero
     vectors neither ask nor answer.
@@ -34,21 +75,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, vector: str = "vec", key: s
     q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).select(F.col("b").alias("qb"), "cb", "id", "v")
     c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("qb", F.col("b").alias("cb"), "id", "v")
 
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        def side(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            ids = np.array(t.column("id").to_pylist(), object)
-            order = np.argsort(ids)
-            x = np.asarray(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(ids), -1)[order]
-            return ids[order], x / np.linalg.norm(x, axis=1, keepdims=True)
-
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.string()), "candidate_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
-        (qi, qv), (ci, cv) = side(left), side(right)
-        s = np.round(qv @ cv.T, 12)
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return pa.table({"query_id": pa.array(np.repeat(qi, top.shape[1]).tolist(), pa.string()), "candidate_id": pa.array(ci[top.ravel()].tolist(), pa.string()), "score": pa.array(np.take_along_axis(s, top, 1).ravel())})
-
-    near = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(best, "query_id string, candidate_id string, score double")
+    near = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(_best(k, metric), _FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -66,49 +93,87 @@ def _probes(asked: np.ndarray, x: np.ndarray, centres: np.ndarray, k: int, recal
     return next(n for n in range(1, len(centres) + 1) if n == len(centres) or (found < n).mean() >= recall)
 
 
-def knn_approximate(queries: DataFrame, base: DataFrame, k: int, cells: int = 16, probes: int | None = None, sample: int = 20_000, seed: int = 42, vector: str = "vec", key: str = "id", recall: float = 0.95) -> DataFrame:
+def knn_approximate(queries: DataFrame, base: DataFrame, k: int, cells: int | None = None, probes: int | None = None, sample: int = 20_000, seed: int = 42, vector: str = "vec", key: str = "id", recall: float = 0.95, block: int = BLOCK) -> DataFrame:
     """IVF: spherical k-means cells from a bounded sample, an equi-join on the nearest cells, then exact cosines.
 
-    probes: nearest cells that a query visits. None: as many as reach recall at k, measured for a few hundred queries
-    against the sample; true neighbours in a larger base are nearer than those, and so more often in the first cells.
+    cells: None for the root of the base's size (4,096 at most). probes: nearest cells that a query visits; None for as
+    many as reach recall at k, measured for a few hundred queries against the sample: true neighbours in a larger base are
+    nearer than those, and so more often in the first cells. Every vector is in a cell; null and zero vectors neither ask
+    nor answer. A cell is dealt into blocks on either side, and a task multiplies two blocks and keeps k for each query.
     """
     ship(queries.sparkSession)
-    picked = base.select(F.col(vector).cast("array<double>").alias("v"), F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("h")).where("v is not null").orderBy("h").limit(sample).toArrow()
-    x = np.array(picked.column("v").to_pylist(), float)
-    x = x[np.linalg.norm(x, axis=1) > 0]
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sound = lambda df: df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & F.exists("v", lambda x: x != 0))
+    asked, known = sound(queries), sound(base)
+
+    def picked(df: DataFrame, n: int, seed: int) -> np.ndarray:
+        rows = df.select("v", F.xxhash64("id", F.lit(seed)).alias("h")).orderBy("h").limit(n).toArrow()
+        x = np.array(rows.column("v").to_pylist(), float)
+        return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.zeros((0, 1))
+
+    x = picked(known, sample, seed)
+    cells = cells or min(4096, max(1, math.isqrt(known.count())))
     centres = x[: min(cells, len(x))].copy()
     for _ in range(10):
-        near = (x @ centres.T).argmax(1)
-        for i in range(len(centres)):
-            if (near == i).any():
-                centres[i] = x[near == i].mean(0)
-                centres[i] /= max(np.linalg.norm(centres[i]), 1e-12)
-
+        near = (x @ centres.T).argmax(1) if len(x) else np.empty(0, int)
+        for i in np.unique(near):
+            centres[i] = x[near == i].mean(0)
+            centres[i] /= max(np.linalg.norm(centres[i]), 1e-12)
     if probes is None:
-        asked = queries.select(F.col(vector).cast("array<double>").alias("v"), F.xxhash64(F.col(key).cast("string"), F.lit(seed + 1)).alias("h")).where("v is not null").orderBy("h").limit(PROBE_QUERIES).toArrow()
-        probes = _probes(np.array(asked.column("v").to_pylist(), float), x, centres, k, recall)
+        probes = _probes(picked(asked, PROBE_QUERIES, seed + 1), x, centres, k, recall)
 
     def cell(n: int):
         def run(batches):
             for b in batches:
-                v = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                top = np.argsort(-(v @ centres.T), axis=1)[:, :n]
-                rep = np.repeat(np.arange(b.num_rows), top.shape[1])
-                yield pa.record_batch({"id": b.column(0).take(pa.array(rep)), "v": pa.array(v[rep].tolist(), pa.list_(pa.float64())), "cell": pa.array(top.ravel(), pa.int32())})
+                v = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, -1)
+                near = v / np.linalg.norm(v, axis=1, keepdims=True) @ centres.T
+                top = np.argpartition(-near, min(n, near.shape[1]) - 1, axis=1)[:, :n]
+                rep = pa.array(np.repeat(np.arange(b.num_rows), top.shape[1]))
+                yield pa.record_batch({"id": b.column(0).take(rep), "v": b.column(1).take(rep), "cell": pa.array(top.ravel(), pa.int32())})
 
-        return run
+        return run if len(centres) else lambda batches: iter(())
 
-    sound = lambda df: df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     kind = "id string, v array<double>, cell int"
-    q = sound(queries).mapInArrow(cell(probes), kind).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), "cell")
-    c = sound(base).mapInArrow(cell(1), kind).select(F.col("id").alias("candidate_id"), F.col("v").alias("cv"), "cell")
-    scored = q.join(c, "cell").select("query_id", "candidate_id", F.aggregate(F.zip_with("qv", "cv", lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z).alias("score"))
+    q, c = cut(asked.mapInArrow(cell(probes), kind)), cut(known.mapInArrow(cell(1), kind))
+    blocks = lambda df, n: df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    plan = F.broadcast(blocks(q, "nq").join(blocks(c, "nc"), "cell"))  # a row for each cell
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(plan, "cell").select("cell", own("nq").alias("qb"), every("nc").alias("cb"), "id", "v")
+    c = c.join(plan, "cell").select("cell", every("nq").alias("qb"), own("nc").alias("cb"), "id", "v")
+    on = ["cell", "qb", "cb"]
+    scored = q.groupBy(*on).cogroup(c.groupBy(*on)).applyInArrow(_best(k), _FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def lookup_queries(ids: DataFrame, vectors: DataFrame, key: str = "id", vector: str = "vec") -> tuple[DataFrame, DataFrame]:
+    """Vectors of the asked ids, and the ids that have none or an invalid one (``valid`` false, where vectors say so)."""
+    asked = ids.select(norm_id(key).alias(key)).distinct()
+    known = vectors.where(F.col(vector).isNotNull() & (F.col("valid") if "valid" in vectors.columns else F.lit(True))).select(norm_id(key).alias(key), vector)
+    return asked.join(known, key), asked.join(known, key, "left_anti")
+
+
+class VectorIndex:
+    """One interface over the searches: kind ``flat`` is exact, ``ivf`` approximate; metric ``ip`` takes vectors as they are.
+
+    A flat index answers with cosines, or with inner products if metric is ``ip``; for ``l2`` scores are negative squared
+    distances. All three order unit vectors alike.
+    """
+
+    def __init__(self, base: DataFrame, kind: str = "flat", metric: str = "cosine", key: str = "id", vector: str = "vec", **options):
+        if kind not in ("flat", "ivf") or metric not in ("cosine", "ip", "l2") or (kind == "ivf" and metric != "cosine"):
+            raise ValueError(f"no {kind} index for {metric}")
+        self.base, self.kind, self.metric, self.key, self.vector, self.options = base, kind, metric, key, vector, options
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        if k <= 0:
+            raise ValueError("k must be positive")
+        names = {"key": self.key, "vector": self.vector}
+        if self.kind == "ivf":
+            return knn_approximate(queries, self.base, k, **names, **self.options)
+        return knn(queries, self.base, k, metric=self.metric, **names, **self.options)
+
+
 def merge_routes(text: DataFrame, event: DataFrame, mode: str = "max", w_text: float = 0.5, lambda_min: float = 0.2, top_n: int | None = None) -> DataFrame:
     """Full outer merge of two knn results; the query itself goes after ranking, so that ranks keep its gap.
 
@@ -125,21 +190,26 @@ def merge_routes(text: DataFrame, event: DataFrame, mode: str = "max", w_text: f
     return out.where(F.col("rank") <= top_n) if top_n else out
 
 
-def ranking_metrics(candidates: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
-    """``k, recall, hit, mrr`` over all queries of candidates; a query without truth counts 0.
+def ranking_metrics(candidates: DataFrame, truth: DataFrame, ks: list[int], queries: DataFrame | None = None) -> DataFrame:
+    """``k, recall, hit, mrr`` over all queries; one without truth or without candidates counts 0.
 
-    candidates: query_id, candidate_id, rank; truth: query_id, candidate_id.
+    candidates: query_id, candidate_id, rank; truth: query_id, candidate_id; queries: query_id of every query that was
+    asked. Without it those of candidates and truth are taken.
     """
+    if queries is None:
+        queries = candidates.select("query_id").union(truth.select("query_id"))
+    truth = truth.select("query_id", "candidate_id").distinct()
     marked = candidates.join(truth.select("query_id", "candidate_id", F.lit(1).alias("good")), ["query_id", "candidate_id"], "left")
     size = truth.groupBy("query_id").agg(F.count("*").alias("n_truth"))
-    per = marked.groupBy("query_id").agg(*[F.count_if((F.col("good") == 1) & (F.col("rank") <= k)).alias(f"h{k}") for k in ks], F.min(F.when(F.col("good") == 1, F.col("rank"))).alias("first")).join(size, "query_id", "left")
+    per = marked.groupBy("query_id").agg(*[F.count_if((F.col("good") == 1) & (F.col("rank") <= k)).alias(f"h{k}") for k in ks], F.min(F.when(F.col("good") == 1, F.col("rank"))).alias("first"))
+    per = queries.select("query_id").distinct().join(per, "query_id", "left").join(size, "query_id", "left").fillna(0, [f"h{k}" for k in ks])
     rows = F.array(
         *[
             F.struct(
                 F.lit(k).alias("k"),
                 F.coalesce(F.try_divide(F.col(f"h{k}").cast("double"), F.col("n_truth").cast("double")), F.lit(0.0)).alias("recall"),
                 (F.col(f"h{k}") > 0).cast("double").alias("hit"),
-                F.when(F.col("first") <= k, 1.0 / F.col("first")).otherwise(0.0).alias("rr"),
+                F.coalesce(F.when(F.col("first") <= k, 1.0 / F.col("first")), F.lit(0.0)).alias("rr"),
             )
             for k in ks
         ]

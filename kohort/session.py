@@ -37,7 +37,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's shared folder (spark.checkpoint.dir); choose a temporary one only where none is set."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kohort-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="kohort-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

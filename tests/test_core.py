@@ -88,9 +88,10 @@ def test_assignment_against_permutations():
         assert np.isclose(got, max(sum(s[i, p[i]] for i in range(4)) for p in itertools.permutations(range(5), 4)))
 
 
-def test_components_chain_and_hub(spark):
+@pytest.mark.parametrize("finish", [0, 40, 1 << 14])
+def test_components_chain_and_hub(spark, finish):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), finish=finish).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(50)}}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
