@@ -244,7 +244,7 @@ def fold_directory(spark: SparkSession, path: str) -> DataFrame:
     Files that are no JSON lists of strings raise, and so do totals (n_folds, total_incidents) of fold_splits.json, where
     that is there, which the lists do not meet.
     """
-    raw = spark.read.option("wholetext", True).text(f"{path}/fold_*/*_incidents.json").withColumn("file", F.col("_metadata.file_path"))
+    raw = spark.read.text(f"{path}/fold_*/*_incidents.json", wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     rows = raw.select("file", F.regexp_extract("file", r"fold_(\d+)/", 1).cast("int").alias("fold"), F.regexp_extract("file", r"/(\w+)_incidents\.json", 1).alias("split"), "value", F.from_json("value", "array<string>").alias("ids"))
     require(rows.where(F.col("ids").isNull() | ~F.trim(F.translate("value", "\n\r\t", "   ")).startswith("[")).select("file"), "files that are no lists")
     out = rows.select("fold", "split", F.explode("ids").alias("incident_id"))

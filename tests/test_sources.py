@@ -90,7 +90,7 @@ def test_folds_scopes_and_config(spark, tmp_path, monkeypatch):
     for f in (1, 2):
         (tmp_path / f"fold_0{f}").mkdir()
         for split, ids in (("train", ["a"]), ("dev", ["b"]), ("test", ["c"])):
-            put(tmp_path / f"fold_0{f}" / f"{split}_incidents.json", ids)
+            put(tmp_path / f"fold_0{f}" / f"{split}_incidents.json", json.dumps(ids, indent=1))
     assert readers.fold_directory(spark, str(tmp_path)).count() == 6
     put(tmp_path / "fold_splits.json", {"n_folds": 2, "total_incidents": 4})
     with pytest.raises(Bad):
