@@ -66,3 +66,21 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame | None = None)
         F.when(F.col("has_b"), _mask(F.col("rb"))).alias("rejected_mask"),
         (F.col("has_a") & F.col("has_b")).alias("complete"),
     )
+
+
+def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and pairs for format_preferences: each conversation is preferred to itself with another's last reply.
+
+    The rejected side is the conversation whose last assistant turn (the greatest turn, of equal ones the greatest text) has
+    the text of the last assistant turn of its neighbour (conv_id with the lowest bit changed), or is empty if there is none;
+    one without an assistant turn is the same on both sides. It goes under conv_id -1 - conv_id; pair_id is conv_id, which
+    must not be negative. Rows with a null conv_id go.
+    """
+    own = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text")
+    reply = own.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    other = reply.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("other"))
+    both = own.join(reply, "conv_id", "left").join(other, "conv_id", "left")
+    is_last = F.coalesce(F.col("last").isNotNull() & (F.col("role") == "assistant") & F.col("turn").eqNullSafe(F.col("last.turn")) & F.col("text").eqNullSafe(F.col("last.text")), F.lit(False))
+    changed = both.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", "role", F.when(is_last, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text"))
+    ids = own.select("conv_id").distinct()
+    return own.unionByName(changed), ids.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), (-1 - F.col("conv_id")).alias("rejected_id"))

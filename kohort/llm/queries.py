@@ -19,7 +19,8 @@ def _spans(mask: str):
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chat.format_preferences(table(spark, sf_dir, "conversations"))
+    turns, pairs = chat.swapped_replies(table(spark, sf_dir, "conversations"))
+    out = chat.format_preferences(turns, pairs)
     return out.select("pair_id", F.col("prefix_turns").cast("long").alias("prefix_turns"), "prompt", "chosen", "rejected", _spans("chosen_mask"), _spans("rejected_mask"), "complete")
 
 
@@ -49,7 +50,9 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    ids, best = F.transform("matches", lambda m: m["id"]), F.array_max(F.transform("matches", lambda m: m["score"]))
+    return out.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matched"), F.array_join(ids, ",").alias("licenses"), F.round(F.coalesce(best, F.lit(0.0)), 6).alias("best_score"))
 
 
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,20 +71,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _UPPER, _LOWER = decontaminate.UPPER, decontaminate.LOWER
 
 _SQL_OP1 = """
-WITH s AS (
-  SELECT (conv_id - ((conv_id % 2) + 2) % 2) // 2 AS pair_id, ((conv_id % 2) + 2) % 2 AS second, turn, role, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p,
-         '<|im_start|>' || coalesce(role, '') || chr(10) AS head, coalesce(text, '') || '<|im_end|>' || chr(10) AS body
-  FROM conversations WHERE conv_id IS NOT NULL),
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+reply AS (SELECT conv_id, turn, text FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) AS r FROM c WHERE role = 'assistant') WHERE r = 1),
+own AS (SELECT c.*, r.conv_id IS NOT NULL AND c.role = 'assistant' AND c.turn IS NOT DISTINCT FROM r.turn AND c.text IS NOT DISTINCT FROM r.text AS is_last, o.text AS other
+        FROM c LEFT JOIN reply r ON r.conv_id = c.conv_id LEFT JOIN reply o ON o.conv_id = xor(c.conv_id, 1)),
+u AS (SELECT conv_id AS pair_id, 0 AS second, turn, role, text FROM c UNION ALL SELECT conv_id, 1, turn, role, CASE WHEN is_last THEN coalesce(other, '') ELSE text END FROM own),
+s AS (SELECT *, row_number() OVER (PARTITION BY pair_id, second ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS p, '<|im_start|>' || coalesce(role, '') || chr(10) AS head, coalesce(text, '') || '<|im_end|>' || chr(10) AS body FROM u),
 m AS (SELECT a.pair_id, a.p FROM s a JOIN s b ON a.pair_id = b.pair_id AND a.p = b.p AND a.second = 0 AND b.second = 1 AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text),
 pre AS (SELECT pair_id, max(p) AS k FROM (SELECT pair_id, p, row_number() OVER (PARTITION BY pair_id ORDER BY p) AS r FROM m) WHERE p = r GROUP BY 1),
 x AS (SELECT s.*, coalesce(k, 0) AS k FROM s LEFT JOIN pre USING (pair_id)),
 y AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, second ORDER BY p) - length(body) AS head_end FROM x WHERE p > k),
-c AS (SELECT pair_id, second, string_agg(head || body, '' ORDER BY p) AS t, coalesce(string_agg(head_end || ':' || length(body), ';' ORDER BY p) FILTER (role = 'assistant'), '') AS mask FROM y GROUP BY 1, 2),
-q AS (SELECT pair_id, max(k) AS k, count(*) FILTER (second = 0) > 0 AS ha, count(*) FILTER (second = 1) > 0 AS hb, coalesce(string_agg(head || body, '' ORDER BY p) FILTER (p <= k AND second = 0), '') AS prompt FROM x GROUP BY 1)
-SELECT pair_id, CAST(k AS BIGINT) AS prefix_turns, prompt, CASE WHEN ha THEN coalesce(a.t, '') END AS chosen, CASE WHEN hb THEN coalesce(b.t, '') END AS rejected,
-       CASE WHEN ha THEN coalesce(a.mask, '') END AS chosen_mask, CASE WHEN hb THEN coalesce(b.mask, '') END AS rejected_mask, ha AND hb AS complete
-FROM q LEFT JOIN (SELECT * FROM c WHERE second = 0) a USING (pair_id) LEFT JOIN (SELECT * FROM c WHERE second = 1) b USING (pair_id)
+t AS (SELECT pair_id, second, string_agg(head || body, '' ORDER BY p) AS t, coalesce(string_agg(head_end || ':' || length(body), ';' ORDER BY p) FILTER (role = 'assistant'), '') AS mask FROM y GROUP BY 1, 2),
+q AS (SELECT pair_id, max(k) AS k, coalesce(string_agg(head || body, '' ORDER BY p) FILTER (p <= k AND second = 0), '') AS prompt FROM x GROUP BY 1)
+SELECT pair_id, CAST(k AS BIGINT) AS prefix_turns, prompt, coalesce(a.t, '') AS chosen, coalesce(b.t, '') AS rejected, coalesce(a.mask, '') AS chosen_mask, coalesce(b.mask, '') AS rejected_mask, true AS complete
+FROM q LEFT JOIN (SELECT * FROM t WHERE second = 0) a USING (pair_id) LEFT JOIN (SELECT * FROM t WHERE second = 1) b USING (pair_id)
 """
 
 _SQL_OP4 = rf"""

@@ -46,6 +46,21 @@ def test_chat(spark):
     assert chat.format_preferences(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_pairs(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (0, 2, "user", "more"), (0, 3, "assistant", "end"), (0, 3, "assistant", "end"), (1, 0, "user", "x" * 200_000), (1, 1, "assistant", "other"), (2, 0, "user", "alone"), (None, 0, "user", "lost"), (4, 1, "assistant", None), (4, 1, "user", "tie")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit("clash"))
+    turns, pairs = chat.swapped_replies(table)
+    got = {r.pair_id: r for r in chat.format_preferences(turns, pairs.withColumn("role", F.lit(1))).collect()}
+    assert sorted(got) == [0, 1, 2, 4] and all(r.complete for r in got.values())
+    assert got[0].prefix_turns == 3 and got[0].prompt.endswith("more<|im_end|>\n") and got[0].chosen.count("end<|im_end|>") == 2 == got[0].rejected.count("other<|im_end|>")
+    assert got[1].prefix_turns == 1 and "end<|im_end|>" in got[1].rejected and len(got[1].prompt) > 200_000
+    assert got[2].prefix_turns == 1 and got[2].chosen == "" == got[2].rejected
+    assert got[4].prefix_turns == 0 and got[4].chosen == got[4].rejected  # null and '' are different turns that look alike
+    some = spark.createDataFrame([("p", 0, 1), ("r", 0, 99), (None, 2, 2)], "pair_id string, chosen_id long, rejected_id long")
+    named = {r.pair_id: r for r in chat.format_preferences(table, some).collect()}
+    assert named["p"].prefix_turns == 0 and not named["r"].complete and named["r"].rejected is None and named[None].prefix_turns == 1
+
+
 def test_sharding(spark):
     texts = odd_texts()
     ids = [5, 5, None, *range(100, 100 + len(texts) - 3)]
@@ -236,13 +251,6 @@ def test_jaccard_against_brute_force(spark, block):
         assert jaccard.join_components(docs(spark, [])).count() == 0
 
 
-def test_licenses(spark):
-    texts = ["Prose.\nReleased under the MIT License.\nmore", "licensed under the Apache Licence, version 2.0", None, "", "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.", "unrelated words in a line of text"]
-    got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
-    assert [got[i].licenses for i in range(6)] == ["mit", "apache-2.0", "", "", "cc-by-nc-4.0,mit", ""]
-    assert got[0].best_score == 1.0 and got[0].n_lines == 3 and got[2].n_lines == 0
-
-
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
@@ -291,25 +299,3 @@ def test_pipeline_keeps_a_row_of_each_group(spark):
     got = [(r.doc_id, r.text) for r in cp.near_copies(spark, d, "").collect()]
     want = [(None, text("a")), (None, text("b")), (7, text("d")), (7, text("e")), (8, text("f")), (8, text("c")), (None, ""), (None, None)]
     assert sorted(got, key=str) == sorted(want, key=str)
-
-
-def test_licenses_at_the_threshold(spark):
-    lines = ["Now released under the MIT License today", "the BSD 2-Clause License.", "public license version 3 affero general", "Released under the MIT", "Released under the MIT License"]
-    lines += ["Licensed under CC BY-NC 4.0"[12:], "This work is licensed under the GNU Affero General Public"]
-    got = {r.doc_id: (r.licenses, r.best_score) for r in licenses.scan_licenses(docs(spark, lines)).collect()}
-    bags = {i: licenses_bag(t) for i, t in licenses.TEMPLATES}
-    for k, line in enumerate(lines):
-        unit = licenses_bag(line)
-        scores = {i: 2 * sum(min(n, b.get(g, 0)) for g, n in unit.items()) / (sum(unit.values()) + sum(b.values())) for i, b in bags.items()}
-        best = max(scores.values())
-        want = (",".join(sorted(i for i, s in scores.items() if s == best)), round(best, 6)) if best >= 0.8 else ("", 0.0)
-        assert got[k] == want
-    assert got[0] == ("mit", 0.8) and got[1] == ("bsd-2-clause", 0.8) and got[2][1] == 0
-
-
-def licenses_bag(text):
-    words = re.sub("licen[cs]e", "license", re.sub("[^a-z0-9]+", " ", text.lower()).strip()).split(" ")
-    bag = {}
-    for g in zip(words, words[1:]):
-        bag[g] = bag.get(g, 0) + 1
-    return bag
