@@ -50,10 +50,15 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame | None = None)
         F.array_sort(F.collect_list(F.when(~F.col("second"), F.col("t")))).alias("a"),
         F.array_sort(F.collect_list(F.when(F.col("second"), F.col("t")))).alias("b"),
     )
+    return format_turns(grouped)
+
+
+def format_turns(pairs: DataFrame) -> DataFrame:
+    """The same for ``pair_id, a, b``: the chosen and the rejected turns (``turn, role, text``) in order, empty for a side that lacks."""
     n = F.least(F.size("a"), F.size("b"))
     same = lambda i: F.get("a", i)["role"].eqNullSafe(F.get("b", i)["role"]) & F.get("a", i)["text"].eqNullSafe(F.get("b", i)["text"])
     first = F.when(n > 0, F.get(F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~same(i)), F.lit(0)))
-    cut = grouped.withColumn("n", n).withColumn("prefix_turns", F.coalesce(first, F.col("n")))
+    cut = pairs.withColumn("n", n).withColumn("prefix_turns", F.coalesce(first, F.col("n")))
     rest = lambda side: F.slice(side, F.col("prefix_turns") + 1, F.size(side))
     parts = cut.select("pair_id", "prefix_turns", (F.size("a") > 0).alias("has_a"), (F.size("b") > 0).alias("has_b"), F.slice("a", F.lit(1), F.col("prefix_turns")).alias("p"), rest("a").alias("ra"), rest("b").alias("rb"))
     return parts.select(
@@ -68,19 +73,24 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame | None = None)
     )
 
 
-def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns and pairs for format_preferences: each conversation is preferred to itself with another's last reply.
+def swapped_replies(conversations: DataFrame) -> DataFrame:
+    """``pair_id, a, b`` for format_turns: each conversation is preferred to itself with another's last reply.
 
     The rejected side is the conversation whose last assistant turn (the greatest turn, of equal ones the greatest text) has
     the text of the last assistant turn of its neighbour (conv_id with the lowest bit changed), or is empty if there is none;
-    one without an assistant turn is the same on both sides. It goes under conv_id -1 - conv_id; pair_id is conv_id, which
-    must not be negative. Rows with a null conv_id go.
+    repeated rows of that turn change alike, and a conversation without an assistant turn is the same on both sides.
+    pair_id is conv_id. Rows with a null conv_id go. One shuffle: neighbours meet in one row.
     """
-    own = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text")
-    reply = own.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    other = reply.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("other"))
-    both = own.join(reply, "conv_id", "left").join(other, "conv_id", "left")
-    is_last = F.coalesce(F.col("last").isNotNull() & (F.col("role") == "assistant") & F.col("turn").eqNullSafe(F.col("last.turn")) & F.col("text").eqNullSafe(F.col("last.text")), F.lit(False))
-    changed = both.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", "role", F.when(is_last, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text"))
-    ids = own.select("conv_id").distinct()
-    return own.unionByName(changed), ids.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), (-1 - F.col("conv_id")).alias("rejected_id"))
+    own = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", F.struct("turn", "role", "text").alias("t"))
+    odd = F.col("conv_id").bitwiseAND(F.lit(1)) == 1
+    two = own.groupBy(F.shiftright("conv_id", 1).alias("_k")).agg(F.array_sort(F.collect_list(F.when(~odd, F.col("t")))).alias("e"), F.array_sort(F.collect_list(F.when(odd, F.col("t")))).alias("o"))
+    last = lambda turns: F.array_max(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: F.struct(t["turn"].alias("turn"), t["text"].alias("text"))))
+    two = two.withColumns({"le": last("e"), "lo": last("o")})
+    side = lambda bit, turns, mine, other: F.struct((F.shiftleft("_k", 1) + bit).alias("pair_id"), F.col(turns).alias("a"), F.col(mine).alias("mine"), F.coalesce(F.col(other)["text"], F.lit("")).alias("other"))
+    each = two.select(F.explode(F.array(side(0, "e", "le", "lo"), side(1, "o", "lo", "le"))).alias("x")).select("x.*").where(F.size("a") > 0)
+
+    def changed(t: Column) -> Column:
+        is_last = F.coalesce(F.col("mine").isNotNull() & (t["role"] == "assistant") & t["turn"].eqNullSafe(F.col("mine")["turn"]) & t["text"].eqNullSafe(F.col("mine")["text"]), F.lit(False))
+        return F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.when(is_last, F.col("other")).otherwise(t["text"]).alias("text"))
+
+    return each.select("pair_id", "a", F.array_sort(F.transform("a", changed)).alias("b"))

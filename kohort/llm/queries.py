@@ -19,8 +19,7 @@ def _spans(mask: str):
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns, pairs = chat.swapped_replies(table(spark, sf_dir, "conversations"))
-    out = chat.format_preferences(turns, pairs)
+    out = chat.format_turns(chat.swapped_replies(table(spark, sf_dir, "conversations")))
     return out.select("pair_id", F.col("prefix_turns").cast("long").alias("prefix_turns"), "prompt", "chosen", "rejected", _spans("chosen_mask"), _spans("rejected_mask"), "complete")
 
 

@@ -49,8 +49,12 @@ def test_chat(spark):
 def test_chat_pairs(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (0, 2, "user", "more"), (0, 3, "assistant", "end"), (0, 3, "assistant", "end"), (1, 0, "user", "x" * 200_000), (1, 1, "assistant", "other"), (2, 0, "user", "alone"), (None, 0, "user", "lost"), (4, 1, "assistant", None), (4, 1, "user", "tie")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit("clash"))
-    turns, pairs = chat.swapped_replies(table)
-    got = {r.pair_id: r for r in chat.format_preferences(turns, pairs.withColumn("role", F.lit(1))).collect()}
+    swapped = chat.swapped_replies(table)
+    got = {r.pair_id: r for r in chat.format_turns(swapped).collect()}
+    assert chat.swapped_replies(table.limit(0)).count() == 0
+    rejected = swapped.select((-1 - F.col("pair_id")).alias("conv_id"), F.explode("b").alias("t")).select("conv_id", "t.*")
+    ids = swapped.select("pair_id", F.col("pair_id").alias("chosen_id"), (-1 - F.col("pair_id")).alias("rejected_id"), F.lit(1).alias("role"))
+    assert {r.pair_id: r for r in chat.format_preferences(table.select("conv_id", "turn", "role", "text").union(rejected), ids).collect()} == got
     assert sorted(got) == [0, 1, 2, 4] and all(r.complete for r in got.values())
     assert got[0].prefix_turns == 3 and got[0].prompt.endswith("more<|im_end|>\n") and got[0].chosen.count("end<|im_end|>") == 2 == got[0].rejected.count("other<|im_end|>")
     assert got[1].prefix_turns == 1 and "end<|im_end|>" in got[1].rejected and len(got[1].prompt) > 200_000
