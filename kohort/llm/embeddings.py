@@ -61,8 +61,8 @@ def _check(threshold: float):
         x = unit(np.asarray(group.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rep), -1))
         keys = np.asarray(group.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(rep), -1)
         table = group.column("tab")[0].as_py()
-        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = not len(two)
+        one, two = np.flatnonzero(side < 2), np.flatnonzero(side == 2)
+        same = bool(side.max() == 0)  # a block with itself; else one side of a pair of blocks may be empty
         two = one if same else two
         links = np.zeros(len(rep), np.int64)
         edges: list[tuple[int, int]] = []
@@ -100,49 +100,54 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     counted, never compared. At the defaults a pair at cosine 0.98 meets in some table with probability 0.99, a nearer
     one more often; nothing below the threshold is linked.
 
-    Plan: hash keys without vectors are shuffled first; only vectors in buckets of two and more follow. A bucket of more
-    than BLOCK is dealt by hash into blocks, and pairs of blocks are tasks: all its pairs are still compared. Links found
-    in several tables count in the first. A task returns sums and a spanning forest, not pairs.
+    Plan: a class goes by the 128-bit hash of label and vector. Hash keys without vectors are shuffled first; buckets of two
+    and more with the same members in several tables (by count and two sums of hashes) count as one, the first, so that a
+    close group is compared once; only then vectors follow, one for each such bucket. A bucket of more than BLOCK is dealt by
+    hash into blocks, and pairs of blocks are tasks: all its pairs are still compared. Links found in several tables count
+    in the first. A task returns sums and a spanning forest, not pairs; answers go back by the class's hash.
     """
     spark = vectors.sparkSession
     ship(spark)
-    base = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"), F.monotonically_increasing_id().alias("_row"))
+    base = vectors.select("vec_id", "label", "embedding", F.monotonically_increasing_id().alias("_row"))
     fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", fine) & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    base = base.withColumn("good", good)
+    base = base.withColumn("good", good).withColumns({"_a": F.xxhash64("label", "embedding"), "_b": F.xxhash64(F.lit(SEED), "embedding", "label")})
     sound = base.where("good")
-    classes = sound.groupBy("label", "embedding").agg(F.min("_row").alias("rep"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    classes = sound.groupBy("_a", "_b").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("_row").alias("rep"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
 
     def hashed(batches):
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(0)
             sizes = np.diff(lists.offsets.to_numpy())
-            flat = np.asarray(lists.flatten().to_numpy(zero_copy_only=False))
+            flat = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), float)
             ends = np.cumsum(sizes)
             out = np.empty((len(sizes), tables), np.int64)
             for d in np.unique(sizes):
                 rows = np.flatnonzero(sizes == d)
                 out[rows] = hash_keys(flat[(ends[rows] - d)[:, None] + np.arange(d)], tables, projections, width)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, tables), pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=["label", "embedding", "rep", "copies", "least", "keys"])
-
-    label = vectors.schema["label"].dataType.simpleString()
-    classes = cut(classes.mapInArrow(hashed, f"label {label}, embedding array<double>, rep long, copies long, least long, keys array<long>"))
-    light = classes.select("rep", F.struct("label", F.size("embedding")).alias("_in"), F.posexplode("keys").alias("tab", "key"))
-    light = light.select("rep", "tab", F.xxhash64("_in", "tab", "key").alias("bucket"))
-    full = light.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=["embedding", "_in", "_a", "_b", "rep", "copies", "least", "keys"])
+
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    plain = classes.select("embedding", F.xxhash64("label", F.size("embedding")).alias("_in"), "_a", "_b", "rep", "copies", "least")
+    classes = cut(plain.mapInArrow(hashed, f"embedding {kind}, _in long, _a long, _b long, rep long, copies long, least long, keys array<long>"))
+    light = classes.select("rep", "_in", F.posexplode("keys").alias("tab", "key")).select("rep", "tab", F.xxhash64("_in", "tab", "key").alias("bucket"))
+    total = lambda seed: F.sum(F.xxhash64("rep", F.lit(seed)).cast("decimal(38,0)"))
+    full = light.groupBy("bucket").agg(F.count("*").alias("n"), F.min("tab").alias("tab"), total(1).alias("s1"), total(2).alias("s2")).where("n > 1")
+    full = full.groupBy("n", "s1", "s2").agg(F.min(F.struct("tab", "bucket")).alias("x")).select(F.col("x.bucket").alias("bucket"), "n")
     met = light.join(full, "bucket").select("rep", "tab", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
     mine = F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("nb")).cast("int")
     met = met.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    met = met.select("rep", "tab", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    met = met.select("rep", "tab", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
     tasks = met.join(classes.select("rep", "copies", "embedding", "keys"), "rep")
     found = cut(tasks.groupBy("task").applyInArrow(_check(threshold), "rep long, links long, other long"))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other is not null"), "rep", "other").select(F.col("node").alias("rep"), "component")
-    names = parts.join(classes.select("rep", "least"), "rep")
+    slim = classes.select("_a", "_b", "rep", "copies", "least")
+    names = parts.join(slim, "rep")
     parts = names.join(names.groupBy("component").agg(F.min("least").alias("low")), "component").select("rep", F.col("low").alias("component"))
-    known = classes.select("rep", "label", "embedding", "copies", "least").join(sums, "rep", "left").join(parts, "rep", "left")
-    known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
-    linked = sound.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    known = slim.join(sums, "rep", "left").join(parts, "rep", "left")
+    known = known.select("_a", "_b", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
+    linked = sound.select("vec_id", "_a", "_b").join(known, ["_a", "_b"]).select("vec_id", "n_links", "component_id")
     alone = base.where(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

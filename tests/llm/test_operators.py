@@ -153,20 +153,26 @@ def test_viterbi_against_tokenizer(spark):
     assert [r.n_tokens for r in got][:2] == [0, 0] and got[2].n_tokens > 0
 
 
-def test_embeddings_against_brute_force(spark):
+@pytest.mark.parametrize("block", [embeddings.BLOCK, 3])
+def test_embeddings_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)  # buckets over it are dealt into blocks
     rng = np.random.default_rng(4)
     base = rng.standard_normal((60, 16))
     rows = [base[i % 60] + 0.03 * rng.standard_normal(16) * (i >= 60) for i in range(200)]
     vecs = [(i, [float(x) for x in np.float32(v)], i % 60 % 3) for i, v in enumerate(rows)]
+    vecs += [(i, [float(x) for x in np.float32(base[7] + 0.002 * rng.standard_normal(16))], 1) for i in range(300, 340)]
+    vecs += [(400, [1.0, 2.0, 3.0], 1), (401, [1.0, 2.0, 3.0], 1), (402, [1.0, 2.0, 3.01], 1), (403, [1.0, 2.0, 3.0], 2), (403, [1.0, 2.0, 3.0], 2)]
     vecs += [(200, vecs[5][1], 5 % 3), (201, None, 1), (202, [0.0] * 16, 1), (203, [float("nan")] + [1.0] * 15, 1), (204, vecs[5][1], None), (205, [], 0)]
     got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(1))).collect()}
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     sound = {i: np.float64(v) / np.linalg.norm(np.float64(v)) for i, v, y in vecs if v and y is not None and np.isfinite(v).all() and any(v)}
     label = {i: y for i, _, y in vecs}
-    links = {i: {j for j in sound if i in sound and j != i and label[i] == label[j] and sound[i] @ sound[j] >= 0.98} for i in got}
-    assert len(got) == len(vecs)
-    assert sum(got[i].n_links for i in got) >= 0.9 * sum(map(len, links.values())) and all(got[i].n_links <= len(links[i]) for i in got)
+    links = {i: {j for j in sound if i in sound and j != i and label[i] == label[j] and len(sound[i]) == len(sound[j]) and sound[i] @ sound[j] >= 0.98} for i in got}
+    assert len(got) == len(vecs) - 1  # one id stands twice
+    assert sum(got[i].n_links for i in got) >= 0.9 * sum(map(len, links.values())) and all(got[i].n_links <= len(links[i]) for i in got if i != 403)
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(201, 206))
-    assert got[200].component_id == min(links[200])
+    assert got[200].component_id == min(links[200]) and got[403].n_links == 1 and got[402].component_id == 400
+    assert all(got[i].n_links == len(links[i]) for i in range(300, 340))  # so close that every pair meets
 
 
 def without_repeats(raw, ids):
