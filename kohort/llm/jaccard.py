@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from kohort.llm import workers
 from kohort.llm.dealing import BASE, BYTE_VALUES, GROUP_ITEMS, SPREAD, counts_of, deal, gathered, key_of, mix, shared, spread
 from kohort.operators.components import connected_components
-from kohort.session import cut, ship
+from kohort.session import cut, ship, shuffle_partitions
 
 WORDS = 5  # of a shingle
 PERCENT = 80  # of the union that two sets must have in common
 BLOCK_ITEMS = 300_000  # n-grams of the sets that meet in one task
-CHUNK = 1 << 20  # bytes hashed at a time
+CHUNK = 1 << 18  # bytes hashed at a time
 NONE = np.iinfo(np.int64).max
 
 _SPACE = np.zeros(256, bool)
@@ -246,7 +246,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     ship(docs.sparkSession)
     rows, _, total = deal(docs, uid=uid)
-    groups = max(1, math.ceil(total / 5 / GROUP_ITEMS))
+    groups = max(shuffle_partitions(docs.sparkSession), math.ceil(total / 5 / GROUP_ITEMS))
 
     def grams(table: pa.Table) -> pa.Table:
         workers.drop()
@@ -307,7 +307,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     size = sets.groupBy("cc").agg(F.sum(F.octet_length("tokens") / 8).alias("items"))
     size = size.select("cc", F.ceil(F.col("items") / block_items).cast("int").alias("nb"))
     every = size.agg(F.count("*").alias("n"), F.max("nb").alias("nb")).first()
-    spread_to = max(1, math.ceil((every.n or 0) / 200))
+    spread_to = max(shuffle_partitions(docs.sparkSession), math.ceil((every.n or 0) / 200))
     placed = sets.join(size, "cc").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     # Small groups share tasks; a large one has a task for each block.
     task = lambda *more: F.when(F.col("nb") == 1, F.pmod(F.xxhash64("cc"), F.lit(spread_to))).otherwise(F.xxhash64("cc", *more))
