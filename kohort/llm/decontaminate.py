@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kohort.session import cut
+
 WINDOW = 10  # words of a window
 KGRAM = 4  # words of a fingerprint; WINDOW - KGRAM + 1 fingerprints in a row share a window
 #: Fingerprint rows of the benchmark (about 300 bytes each) up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20  # the same for item ids, as a common fingerprint may stand in any number of items
 
 EDGES = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -103,8 +106,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, uid: str | None = None)
     lengths = with_word_hashes(bench, []).select(F.size("_h").alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct()
     shorts = sorted(r.n for r in lengths.collect())  # nine values at most
     prints = _fingerprints(bench, ["item"], shorts, True).where(F.col("pos") >= 0).select("item", F.col("m").alias("bm"), F.col("fp").alias("bfp"), _context(F.col("m")).alias("bctx"))
-    prints = prints.groupBy("bm", "bfp", "bctx").agg(F.collect_set("item").alias("items"))
-    small = prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    prints = cut(prints.groupBy("bm", "bfp", "bctx").agg(F.collect_set("item").alias("items")))
+    size = prints.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.array_join("items", ","))), F.lit(0)).alias("bytes")).first()
+    small = size.rows <= BROADCAST_ROWS and size.bytes <= BROADCAST_BYTES
 
     base = docs.select("doc_id", "text", (F.col(uid) if uid else F.monotonically_increasing_id()).alias("_row"))
     rows = _fingerprints(base, ["_row", "doc_id"], shorts, False)

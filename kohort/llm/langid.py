@@ -16,7 +16,8 @@ BUCKETS = 1 << 15  # hashed n-grams of a language model
 ORDER = 3  # characters of an n-gram
 MAX_LANGUAGES = 512  # bounds the broadcast: MAX_LANGUAGES * BUCKETS floats
 PIECE = 1 << 19  # characters worked on at a time, so that a long text needs no more memory
-ROUNDS = 12  # of expectation-maximisation
+ROUNDS = 200  # of expectation-maximisation at most; it ends where no proportion moves by SETTLED
+SETTLED = 1e-4
 SMOOTHING = 0.5
 
 
@@ -105,7 +106,7 @@ def _em(p: np.ndarray, n: np.ndarray, start: np.ndarray, rounds: int) -> tuple[n
     for _ in range(rounds):
         mix = share @ p
         new = share * (p @ (n / mix)) / total
-        settled = np.abs(new - share).max() < 1e-4
+        settled = np.abs(new - share).max() < SETTLED
         share = new
         if settled:
             break
@@ -115,7 +116,7 @@ def _em(p: np.ndarray, n: np.ndarray, start: np.ndarray, rounds: int) -> tuple[n
 def infer(ids: np.ndarray, n: np.ndarray, logp: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Proportions over all languages of a document.
 
-    Languages join one at a time, the one with the greatest gradient of the likelihood first, while the likelihood
+    Languages join one at a time, of those towards which the likelihood rises the one with which it ends highest, while it
     gains more than half of log(n-grams) for the parameter (BIC); each step refits by expectation-maximisation.
     """
     p = logp[:, ids].astype(np.float64)
@@ -129,11 +130,11 @@ def infer(ids: np.ndarray, n: np.ndarray, logp: np.ndarray, rounds: int = ROUNDS
         mix = share @ p[chosen]
         gain = p @ (n / mix) / n.sum()  # over 1: more of this language would raise the likelihood
         gain[chosen] = 0
-        new = int(gain.argmax())
-        if gain[new] <= 1 or like + penalty >= 0:  # 0 is the likelihood if each n-gram had its best language
+        if gain.max() <= 1 or like + penalty >= 0:  # 0 is the likelihood if each n-gram had its best language
             break
         start = np.append(share * 0.9, 0.1)
-        wider, more = _em(p[[*chosen, new]], n, start, rounds)
+        tried = [(*_em(p[[*chosen, new]], n, start, rounds), int(new)) for new in np.flatnonzero(gain > 1)]
+        wider, more, new = max(tried, key=lambda x: x[1])
         if more - like <= penalty:
             break
         chosen, share, like = [*chosen, new], wider, more

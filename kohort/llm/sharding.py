@@ -16,7 +16,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40) -> DataFrame:
 
     A document goes to shard ``start * n_shards div total``, start being the bytes before it, so that a shard differs
     from the target by one document at most. A null text has no bytes and the checksum 0; a null doc_id comes first;
-    rows with the same doc_id keep the order in which they are read and may meet in one shard. An empty table gives no rows.
+    rows with the same doc_id keep the order in which they are read and may meet in one shard. Groups (equal texts) are not
+    held together, as the cuts of the order decide alone; text_crc32 tells them. An empty table gives no rows.
 
     Plan: rows without text are dealt by range (ties spread by a running number) and checkpointed, so that range
     numbers are fixed; totals of each range, one row each, are prefix-summed and broadcast (bounded by the number of

@@ -150,6 +150,9 @@ class Counter:
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens`` for each row: pieces of the best segmentation of the whole text.
 
+    The scores are those of the file. A file of a byte-pair vocabulary has merge ranks there, negative whole numbers: they are
+    taken as unigram scores, and the counts are then those of that unigram model, not of the byte-pair tokenizer.
+
     path: a .model file that every worker can read. A null or empty text has 0; a repeated row gives a row of its own.
     No shuffle; a worker keeps at most CACHE_BYTES of words it has counted, and the programme of a text holds three
     numbers for each character.

@@ -108,6 +108,21 @@ def test_decontaminate(spark, monkeypatch, limit):
     assert decontaminate.decontaminate(docs(spark, ["a"]), bench.limit(0)).first().n_hit == 0
 
 
+def test_decontaminate_odd_tables(spark):
+    rng = random.Random(10)
+    item = " ".join(f"item{i}" for i in range(14))
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120_000))
+    texts = [long + " " + item + " " + long, item, item, None, " ".join(item.split()[:9]), "ITEM1 " * 3 + item.upper()]
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item), (2, "  ")], "item_id long, text string").withColumn("fp", F.lit(1))
+    frame = docs(spark, texts, [1, 2, 2, 4, 5, 6]).withColumn("_h", F.lit("clash")).withColumn("fp", F.lit(1))
+    got = decontaminate.decontaminate(frame, bench).collect()
+    sha = hashlib.sha256(b",1").hexdigest()  # the item without an id goes by ''
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == [(1, 240_014, 14, 2, True), (2, 14, 14, 2, True), (2, 14, 14, 2, True), (4, 0, 0, 0, False), (5, 9, 0, 0, False), (6, 17, 14, 2, True)]
+    assert {r.items_sha256 for r in got if r.contaminated} == {sha}
+    numbered = decontaminate.decontaminate(frame.withColumn("n", F.monotonically_increasing_id()), bench, uid="n")
+    assert numbered.select("n").distinct().count() == 6
+
+
 def test_language(spark):
     rng = random.Random(2)
     words = {"en": "the and with from this that have not".split(), "de": "der und nicht mit das ist ein auch".split(), "fr": "les est dans pour une avec sur qui".split()}
@@ -299,6 +314,80 @@ def test_pipeline_keeps_documents_cut_inside_characters(spark, tmp_path):
         assert got[k].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() over nulls, empty texts, repeated rows, copies, cuts, leaks and columns with the names of stages' own."""
+    import corpus_pipeline as cp
+
+    tiktoken = pytest.importorskip("tiktoken")
+    rng = random.Random(21)
+    words = {"en": "the and with from this that have not were been their which".split(), "de": "der und nicht mit das ist ein auch werden wurde eine durch".split()}
+    make = lambda lang, n: " ".join(rng.choice(words[lang]) + rng.choice(["", "", "e", "n", "s"]) + (str(rng.randrange(50)) if rng.random() < 0.3 else "") for _ in range(n))
+    passage, leak = make("en", 25), make("en", 14)
+    texts = [make(rng.choice(["en", "de"]), rng.randint(20, 120)) for _ in range(30)]
+    texts[3] = texts[2] + " end"  # a near copy
+    texts[5] = texts[4]
+    for k in (6, 8, 10, 12):
+        texts[k] = f"{texts[k]} {passage} {texts[k + 1]}"
+    texts[14] = f"{texts[14]} {leak}"
+    texts[16], texts[18] = passage, f"é{passage}é {texts[18]}"
+    texts[20] = f"è{passage}ê {texts[20]}"
+    rows = [(i, t, "de" if t.split()[0][:3] in ("der", "und") else "en") for i, t in enumerate(texts)]
+    rows += [(2, texts[2], "en"), (None, texts[7], None), (None, make("de", 60), None), (100, None, "en"), (101, "", "de"), (102, "12 34 !", "en"), (103, "the", "en"), (7, make("en", 50), "en")]
+    frame = spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    for c in ("_row", "uid", "bucket", "k0", "kept", "grp"):
+        frame = frame.withColumn(c, F.lit("clash"))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("b1", leak), ("b2", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    # Stage 1 by the operator's own parts, the others by brute force.
+    known = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2 or i is None]
+    langs = sorted({x for t, x in known if t and x})
+    sums = np.full((len(langs), langid.BUCKETS), langid.SMOOTHING)
+    for t, x in known:
+        if x and (got := langid.ngram_counts(t)):
+            sums[langs.index(x), got[0]] += got[1]
+    logp = np.log(sums / sums.sum(1, keepdims=True)).astype(np.float32)
+    left = [(i, t) for i, t, _ in rows if (got := langid.ngram_counts(t)) and langid.infer(*got, logp).max() >= cp.MIN_SCORE]
+    assert len(left) >= len(rows) - 5
+    sets = []
+    for _, t in left:
+        w = t.lower().split()
+        n = min(5, len(w))
+        sets.append({tuple(w[j : j + n]) for j in range(len(w) - n + 1)})
+    comp = list(range(len(left)))
+    for _ in left:
+        for a in range(len(left)):
+            for b in range(len(left)):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    first = {}
+    for k, c in enumerate(comp):
+        order = (left[k][0] is None, left[k][0] or 0, k)
+        first[c] = min(first.get(c, order), order)
+    left = [left[k] for _, _, k in sorted(first.values(), key=lambda x: x[2])]
+    raw = [t.encode() for _, t in left]
+    cut = []
+    for (i, _), r, mask in zip(left, raw, without_repeats(raw, [i for i, _ in left])):
+        parts = [r[m.start() : m.end()].decode("utf-8", "ignore") for m in re.finditer(rb"\0+", bytes(mask))]
+        if not any(mask) or "".join(parts):
+            cut.append((i, "".join(parts)))
+    ten = lambda t: (lambda w: {tuple(w[j : j + 10]) for j in range(len(w) - 9)})(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()))
+    clean = [(i, t) for i, t in cut if not ten(t) & ten(leak)]
+    assert len(raw) > len(cut) > len(clean) and any(i is None for i, _ in clean)
+    path = P.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, list(r.ids), r.decoded_sha256) for r in got), key=str) == sorted(((i, enc.encode_ordinary(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in clean), key=str)
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_keeps_a_row_of_each_group(spark):
     import corpus_pipeline as cp
 
