@@ -18,7 +18,7 @@ from kohort.session import ship
 PART_BYTES = 1 << 19  # of words that one recursive query contracts
 PIECE = 1 << 21  # characters that are split into words at a time
 ROWS = 1000  # worked on at a time
-PIECE_IDS = 1 << 19  # that one aggregation decodes
+PIECE_IDS = 1 << 20  # that one aggregation decodes
 CACHE_BYTES = 128 << 20  # of a worker's words that are done
 STEP, OVERLAP = 240, 60  # bytes: a long word is contracted in stretches that overlap
 
@@ -40,7 +40,7 @@ WITH RECURSIVE state(word, pos, tok, live) AS (
 SELECT word, list(tok ORDER BY pos) AS toks FROM state WHERE NOT live GROUP BY word
 """
 
-DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS text FROM given JOIN vocabulary USING (id) GROUP BY doc"
+DECODE = "SELECT doc, array_to_string(list(piece ORDER BY pos), '') AS text FROM given JOIN vocabulary USING (id) GROUP BY doc"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
