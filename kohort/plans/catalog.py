@@ -429,6 +429,22 @@ SELECT round(g, 6) AS g2p, round(p, 6) AS p2g, round((g + p) / 2, 6) AS symmetri
 _REACH = f"{_EDGES}, kept AS (SELECT u, v FROM ug WHERE n = 2 AND lo > 0 AND 1 - lo <= 1 - {THETA} + 1e-12), sym AS (SELECT u AS a, v AS b FROM kept UNION ALL SELECT v, u FROM kept), reach(a, b) AS (SELECT id, id FROM v UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a), comp AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1)"
 
 
+#: Complete linkage step by step: the nearest pair of all (its lower, then its higher number first) becomes the next number,
+#: with the greater distance to whatever both parts are near to.
+_LINKAGE = f"""{_REACH}, num AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM v), total AS (SELECT count(*) AS n FROM num),
+r(step, kind, a, b, d) AS (
+  SELECT CAST(0 AS BIGINT), 0, least(x.k, y.k), greatest(x.k, y.k), 1 - lo FROM ug JOIN num x ON x.id = u JOIN num y ON y.id = v WHERE n = 2 AND lo > 0 AND 1 - lo <= 1 - {THETA} + 1e-12
+  UNION ALL
+  (WITH m AS (SELECT step, a, b, d FROM r WHERE kind = 0 ORDER BY d, a, b LIMIT 1),
+   near AS (SELECT CASE WHEN r.a = m.a OR r.a = m.b THEN r.b ELSE r.a END AS x, r.d FROM r, m WHERE kind = 0 AND (r.a = m.a OR r.a = m.b) <> (r.b = m.a OR r.b = m.b))
+   SELECT m.step + 1, 0, r.a, r.b, r.d FROM r, m WHERE kind = 0 AND r.a <> m.a AND r.a <> m.b AND r.b <> m.a AND r.b <> m.b
+   UNION ALL SELECT m.step + 1, 0, near.x, total.n + m.step, near.d FROM (SELECT x, max(d) AS d FROM near GROUP BY x HAVING count(*) = 2) near, m, total
+   UNION ALL SELECT m.step + 1, 1, m.a, m.b, m.d FROM m)),
+up AS (SELECT a AS child, n + step - 1 AS parent FROM r, total WHERE kind = 1 UNION ALL SELECT b, n + step - 1 FROM r, total WHERE kind = 1),
+anc(id, here) AS (SELECT id, k FROM num UNION ALL SELECT id, parent FROM anc JOIN up ON child = here),
+linked AS (SELECT id AS node, min(id) OVER (PARTITION BY root) AS cluster FROM (SELECT id, max(here) AS root FROM anc GROUP BY 1))"""
+
+
 def _sql_view(title: str, body: str, s, most: int | None = None) -> str:
     whole = s(f"'Title: ' || left({s(title)}, 200) || chr(10) || 'Body: ' || left({s(body)}, 6000)")
     return whole if most is None else f"left({whole}, {most})"
@@ -453,6 +469,8 @@ def oracle_sql() -> dict[str, str]:
         "edges_either": f"WITH {_EDGES} SELECT u, v, round(hi, 6) AS w FROM ug WHERE hi > 0",
         "components": f"WITH RECURSIVE {_REACH} SELECT node, component FROM comp",
         "clique_violations": f"WITH RECURSIVE {_REACH}, p AS (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM (SELECT count(*) AS n FROM comp GROUP BY component)), e AS (SELECT count(*) AS edges FROM kept) SELECT pairs, edges, pairs - edges AS violations FROM p, e",
+        "complete_linkage": f"WITH RECURSIVE {_LINKAGE} SELECT node, cluster FROM linked",
+        "flagship_bcubed": f"WITH RECURSIVE {_LINKAGE}, t AS (SELECT label AS g, cluster AS p, count(*) AS n FROM linked JOIN v ON id = node GROUP BY 1, 2), x AS (SELECT sum(n * n / b) / sum(n) AS p, sum(n * n / a) / sum(n) AS r FROM (SELECT n, sum(n) OVER (PARTITION BY g) AS a, sum(n) OVER (PARTITION BY p) AS b FROM t)) SELECT round(p, 6) AS precision, round(r, 6) AS recall, {f1} FROM x",
         "component_sizes": f"WITH RECURSIVE {_REACH}, z AS (SELECT count(*) AS n FROM comp GROUP BY component) SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS nodes, count(*) FILTER (n = 1) AS singletons, max(n) AS largest, (SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY n DESC) FROM (SELECT n FROM z ORDER BY n DESC LIMIT 10)) AS top_sizes FROM z",
         "cluster_numbers": "SELECT o_custkey AS cluster, row_number() OVER (ORDER BY o_custkey) - 1 AS cluster_id, count(*) AS size FROM orders GROUP BY 1",
         "knn_approximate_recall": f"WITH {_V}, {_sql_knn('t', 'k')} SELECT count(*) AS n_exact, true AS reached FROM k",
