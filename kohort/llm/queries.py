@@ -107,6 +107,17 @@ c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
 """
 
+#: The checksum byte by byte (the usual polynomial, bits reversed), cuts of the order by prefix sums.
+_SQL_OP9 = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, doc_id, len(h) // 2 + {sharding.ROW_BYTES} AS size,
+      xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(h) // 2), lambda i: CAST(('0x' || h[2 * i + 1 : 2 * i + 2]) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS crc FROM d, crc),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, r) - size AS start, sum(size) OVER () AS total FROM s),
+q AS (SELECT *, CAST(least(39, start * 40 // total) AS INT) AS shard FROM p)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, r) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM q
+"""
+
 _SQL_OP10 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS g FROM d, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
@@ -121,4 +132,4 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM c
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express it. The other operators are held against brute force in tests/llm."""
-    return {"op1_preference_format": _SQL_OP1, "op4_decontaminate": _SQL_OP4, "op6_embedding_near_dedup": _SQL_OP6, "op8_license_scan": licenses.oracle(), "op10_jaccard_join": _SQL_OP10}
+    return {"op1_preference_format": _SQL_OP1, "op4_decontaminate": _SQL_OP4, "op6_embedding_near_dedup": _SQL_OP6, "op8_license_scan": licenses.oracle(), "op9_byte_shards": _SQL_OP9, "op10_jaccard_join": _SQL_OP10}
