@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from kohort.session import cut, ship
 
-FINISH = 1 << 14  # edges that one task may take
+FINISH = 1 << 16  # edges that one task may take
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

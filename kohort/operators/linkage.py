@@ -13,7 +13,7 @@ from kohort.functions.scalars import norm_id
 from kohort.operators.graph import EPS, components, threshold_edges
 from kohort.operators.ordering import numbered
 from kohort.operators.validation import require
-from kohort.session import cut, ship
+from kohort.session import cut, ship, shuffle_partitions
 
 
 def merge_history(n: int, edges: list[tuple[int, int, float]], cut: float) -> list[tuple[int, int, int, float]]:
@@ -67,6 +67,16 @@ def _history_of(pdf: pd.DataFrame, cut: float) -> tuple[list[str], list[tuple[in
     return names, merge_history(len(names), edges, cut)
 
 
+def _by_component(edges: DataFrame, run, schema: str) -> DataFrame:
+    """run on the edges of each component; many small components share a call, as each call has its cost."""
+
+    def every(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([run(one) for _, one in pdf.groupby("component", sort=False)], ignore_index=True)
+
+    task = F.pmod(F.xxhash64("component"), F.lit(4 * shuffle_partitions(edges.sparkSession)))
+    return edges.withColumn("_task", task).groupBy("_task").applyInPandas(every, schema)
+
+
 def complete_linkage(nodes: DataFrame, edges: DataFrame, theta: float, node: str = "node") -> DataFrame:
     """``node, cluster``: cluster is its least node. A component is one group; its kept edges must fit one task."""
     ship(nodes.sparkSession)
@@ -78,7 +88,7 @@ def complete_linkage(nodes: DataFrame, edges: DataFrame, theta: float, node: str
         names, history = _history_of(pdf, 1.0 - theta)
         return pd.DataFrame([(names[i], names[g[0]]) for g in cut_history(len(names), history, 1.0 - theta) for i in g], columns=["node", "cluster"])
 
-    linked = own.groupBy("component").applyInPandas(link, "node string, cluster string")
+    linked = _by_component(own, link, "node string, cluster string")
     return nodes.select(F.col(node).alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 
@@ -95,7 +105,7 @@ def linkage_at(nodes: DataFrame, edges: DataFrame, thetas: list[float], node: st
         rows = [(t, names[i], names[g[0]]) for t in thetas for g in cut_history(len(names), history, 1.0 - t) for i in g]
         return pd.DataFrame(rows, columns=["theta", "node", "cluster"])
 
-    linked = own.groupBy("component").applyInPandas(link, "theta double, node string, cluster string")
+    linked = _by_component(own, link, "theta double, node string, cluster string")
     grid = nodes.select(F.col(node).alias("node")).distinct().withColumn("theta", F.explode(F.array(*map(F.lit, thetas))))
     return grid.join(linked, ["theta", "node"], "left").select("theta", "node", F.coalesce("cluster", "node").alias("cluster"))
 
@@ -142,7 +152,7 @@ def dense_linkage(nodes: DataFrame, edges: DataFrame, theta: float, node: str =
             d[at[u], at[v]] = d[at[v], at[u]] = 1.0 - w
         return pd.DataFrame([(names[i], names[g[0]]) for g in dense_merges(d, 1.0 - theta) for i in g], columns=["node", "cluster"])
 
-    linked = own.groupBy("component").applyInPandas(link, "node string, cluster string")
+    linked = _by_component(own, link, "node string, cluster string")
     return nodes.select(F.col(node).alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 

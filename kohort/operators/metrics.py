@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from kohort.functions.scalars import choose2
 from kohort.operators.components import connected_components
 from kohort.operators.validation import ContractError, domain_difference, require
-from kohort.session import ship
+from kohort.session import cut, ship, shuffle_partitions
+
+CELLS = 1 << 20  # of a table of scores that one task solves without looking for components
 
 
 def contingency(gold: DataFrame, pred: DataFrame, report: str = "report_id", strict: bool = True) -> DataFrame:
@@ -104,29 +106,42 @@ def assign(score: np.ndarray) -> np.ndarray:
     return out
 
 
-def hungarian(table: DataFrame, by: str | None = None) -> DataFrame:
+def hungarian(table: DataFrame, by: str | None = None, cells: int = CELLS) -> DataFrame:
     """One row: ``g2p, p2g, symmetric, matched, unmatched_gold, unmatched_pred`` of the best one-to-one matching by F1.
 
-    Clusters without a common report can't match, so the overlap graph is cut into components and each solved in one task.
+    Clusters without a common report can't match, so the overlap graph is cut into components and each solved in one task,
+    unless all clusters of both sides make a table of at most ``cells``, which is solved as it is.
     by: a column that parts table into tables of their own; then its values stand first, with a row for each.
     """
     ship(table.sparkSession)
     keys = [by] if by else []
     a, b = sizes(table, *keys)
-    name = lambda c: F.concat(F.lit(c[0]), *[F.concat(F.col(x).cast("string"), F.lit("/")) for x in keys], F.col(c).cast("string")).alias(c[0])
-    full = table.join(a, [*keys, "gold"]).join(b, [*keys, "pred"]).select(*keys, name("gold"), name("pred"), (2.0 * F.col("n") / (F.col("a") + F.col("b"))).alias("f"))
-    parts = connected_components(full, "g", "p").select(F.col("node").alias("g"), "component")
+    ng, np_ = a.groupBy(*keys).agg(F.count("*").alias("ng")), b.groupBy(*keys).agg(F.count("*").alias("np"))
+    counts = cut(ng.join(np_, keys) if keys else ng.crossJoin(np_))  # a row for each value of by
+    full = table.join(a, [*keys, "gold"]).join(b, [*keys, "pred"]).select(*keys, "gold", "pred", (2.0 * F.col("n") / (F.col("a") + F.col("b"))).alias("f"))
+    if (counts.agg(F.max(F.col("ng") * F.col("np"))).first()[0] or 0) <= cells:
+        parted = full.withColumn("component", F.xxhash64(*keys) if keys else F.lit(0))
+    else:
+        # Nodes are hashes: if two fall together, so do their components, which are then solved as one.
+        node = lambda c: F.xxhash64(F.lit(c), *keys, c)
+        full = full.withColumns({"_g": node("gold"), "_p": node("pred")})
+        parts = connected_components(full, "_g", "_p").select(F.col("node").alias("_g"), "component")
+        parted = full.join(parts, "_g").drop("_g", "_p")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot(index="g", columns="p", values="f").fillna(0.0).to_numpy()
-        grid = grid if grid.shape[0] <= grid.shape[1] else grid.T
-        got = grid[np.arange(len(grid)), assign(grid)]
-        return pd.DataFrame({**{x: pdf[x].iloc[:1].to_numpy() for x in keys}, "total": [float(got.sum())], "matched": [int((got > 0).sum())]})
+        got = []
+        for _, one in pdf.groupby(["component", *keys], sort=False):
+            rows, cols = pd.factorize(one["gold"])[0], pd.factorize(one["pred"])[0]
+            grid = np.zeros((rows.max() + 1, cols.max() + 1))
+            grid[rows, cols] = one["f"].to_numpy()
+            grid = grid if grid.shape[0] <= grid.shape[1] else grid.T
+            found = grid[np.arange(len(grid)), assign(grid)]
+            got.append({**{x: one[x].iloc[0] for x in keys}, "total": float(found.sum()), "matched": int((found > 0).sum())})
+        return pd.DataFrame(got)
 
     kind = "".join(f"{x} {table.schema[x].dataType.simpleString()}, " for x in keys) + "total double, matched long"
-    done = full.join(parts, "g").groupBy("component").applyInPandas(solve, kind).groupBy(*keys).agg(F.sum("total").alias("s"), F.sum("matched").alias("matched"))
-    ng, np_ = a.groupBy(*keys).agg(F.count("*").alias("ng")), b.groupBy(*keys).agg(F.count("*").alias("np"))
-    out = done.join(ng, keys).join(np_, keys) if keys else done.crossJoin(ng).crossJoin(np_)
+    done = parted.withColumn("_task", F.pmod(F.xxhash64("component"), F.lit(4 * shuffle_partitions(table.sparkSession)))).groupBy("_task").applyInPandas(solve, kind).groupBy(*keys).agg(F.sum("total").alias("s"), F.sum("matched").alias("matched"))
+    out = done.join(counts, keys) if keys else done.crossJoin(counts)  # one row each
     out = out.withColumn("g2p", F.col("s") / F.col("ng")).withColumn("p2g", F.col("s") / F.col("np"))
     return out.select(*keys, "g2p", "p2g", ((F.col("g2p") + F.col("p2g")) / 2).alias("symmetric"), "matched", (F.col("ng") - F.col("matched")).alias("unmatched_gold"), (F.col("np") - F.col("matched")).alias("unmatched_pred"))
 
@@ -139,8 +154,6 @@ def partition_summary(table: DataFrame) -> DataFrame:
 
 def evaluate_partition(gold: DataFrame, pred: DataFrame, report: str = "report_id") -> DataFrame:
     """All metrics in one row."""
-    from kohort.session import cut
-
     t = cut(contingency(gold, pred, report))
     rename = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
     out = partition_summary(t)

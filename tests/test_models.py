@@ -196,6 +196,16 @@ def test_large_counts(spark):
     assert tuple(df.select(text_of(df, "a"), text_of(df, "b")).first()) == ("[1,2]", "")
 
 
+def test_matching_by_components_and_whole(spark):
+    rng = np.random.default_rng(9)
+    cells = {(int(t), int(g), int(p)): int(n) for t, g, p, n in zip(rng.integers(0, 3, 120), rng.integers(0, 12, 120), rng.integers(0, 15, 120), rng.integers(1, 9, 120))}
+    table = spark.createDataFrame([(t, f"g{g}", f"p{p}", n) for (t, g, p), n in cells.items()], "theta int, gold string, pred string, n long")
+    rounded = lambda df: sorted([x if not isinstance(x, float) else round(x, 9) for x in r] for r in df.collect())
+    assert rounded(metrics.hungarian(table, by="theta")) == rounded(metrics.hungarian(table, by="theta", cells=0))
+    one = table.where("theta = 1").drop("theta")
+    assert rounded(metrics.hungarian(one)) == rounded(metrics.hungarian(one, cells=0)) == [r[1:] for r in rounded(metrics.hungarian(table, by="theta")) if r[0] == 1]
+
+
 def test_thresholds(spark):
     table = spark.createDataFrame([(0.1, 0.5, 0.5, 0.5), (0.2, 0.7, 0.6, 0.1), (0.3, 0.7, 0.6, 0.2), (0.4, 0.7, 0.5, 0.9), (0.5, 0.7 - 1e-15, 0.6, 0.2)], "theta double, hungarian_f1_g2p double, hungarian_f1_symmetric double, b_cubed_f1 double")
     assert workflows.best_threshold(table).first().theta == 0.3
