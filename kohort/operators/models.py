@@ -8,7 +8,7 @@ import json
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kohort.operators.validation import ContractError
@@ -192,13 +192,18 @@ def train_logistic(x: np.ndarray, y: np.ndarray, epochs: int = 8, rate: float =
     return w
 
 
-def report_vectors(cases: DataFrame, fields: list[str], dims: dict[str, int], key: str = "id") -> DataFrame:
-    """``id, report``: the fields' vectors one after the other, zeros where one is missing or its ``<field>_valid`` is false."""
+def report_vector(cases: DataFrame, fields: list[str], dims: dict[str, int]) -> Column:
+    """The fields' vectors one after the other, zeros where one is missing or its ``<field>_valid`` is false."""
     parts = []
     for f in fields:
         ok = F.col(f).isNotNull() & (F.col(f"{f}_valid") if f"{f}_valid" in cases.columns else F.lit(True))
         parts.append(F.when(ok, F.col(f).cast("array<float>")).otherwise(F.array_repeat(F.lit(0.0).cast("float"), dims[f])))
-    return cases.select(F.col(key).alias("id"), F.concat(*parts).alias("report"))
+    return F.concat(*parts)
+
+
+def report_vectors(cases: DataFrame, fields: list[str], dims: dict[str, int], key: str = "id") -> DataFrame:
+    """``id, report``, see report_vector."""
+    return cases.select(F.col(key).alias("id"), report_vector(cases, fields, dims).alias("report"))
 
 
 def with_reports(pairs: DataFrame, reports: DataFrame) -> DataFrame:

@@ -165,8 +165,11 @@ def vocabulary(df: DataFrame, fields: list[str], missing: bool = True) -> DataFr
     return long.withColumn("code", F.row_number().over(Window.partitionBy("field").orderBy("token")) - 1)
 
 
-def wide_features(pairs: DataFrame, cases: DataFrame, equal: tuple[str, ...] = EQUAL_FIELDS, similar: tuple[str, ...] = SIMILAR_FIELDS, key: str = "id", dim: int | None = None) -> DataFrame:
-    """eq_<field> for categories, then sim_<field>: cosine where both vectors are there, else 0."""
-    sides = [cases.select(F.col(key).alias(side), *[F.col(f).alias(f"{p}{f}") for f in dict.fromkeys([*equal, *similar])]) for side, p in (("query_id", "q_"), ("candidate_id", "c_"))]
+def wide_features(pairs: DataFrame, cases: DataFrame, equal: tuple[str, ...] = EQUAL_FIELDS, similar: tuple[str, ...] = SIMILAR_FIELDS, key: str = "id", dim: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """eq_<field> for categories, then sim_<field>: cosine where both vectors are there, else 0.
+
+    keep: fields of cases that come out as they are, as q_<field> and c_<field>, so that a later step need not join again.
+    """
+    sides = [cases.select(F.col(key).alias(side), *[F.col(f).alias(f"{p}{f}") for f in dict.fromkeys([*equal, *similar, *keep])]) for side, p in (("query_id", "q_"), ("candidate_id", "c_"))]
     out = pairs.join(sides[0], "query_id", "left").join(sides[1], "candidate_id", "left")
-    return out.select(*pairs.columns, *[category_equal(f"q_{f}", f"c_{f}").alias(f"eq_{f}") for f in equal], *[cosine(f"q_{f}", f"c_{f}", dim).alias(f"sim_{f}") for f in similar])
+    return out.select(*pairs.columns, *[category_equal(f"q_{f}", f"c_{f}").alias(f"eq_{f}") for f in equal], *[cosine(f"q_{f}", f"c_{f}", dim).alias(f"sim_{f}") for f in similar], *[F.col(f"{p}{f}") for p in ("q_", "c_") for f in keep])
