@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import heapq
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,38 +20,97 @@ from kohort.operators.validation import require
 from kohort.session import cut, ship, shuffle_partitions
 
 
+def _merges(n: int, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """merge_history of distinct pairs in arrays.
+
+    Edges come by distance and are counted by pairs of clusters: two are complete, at that distance, with the last edge
+    between their members. Two nodes are so with their one edge, and a pair that lacks an edge (a member outside the common
+    neighbours of the other side) is never counted, so that little is held besides the arrays.
+    """
+    u, v = u.astype(np.int32), v.astype(np.int32)
+    both = np.lexsort((np.concatenate([v, u]), ends := np.concatenate([u, v])))
+    begin = np.searchsorted(ends[both], np.arange(n + 1)).tolist()
+    around = array("i", np.concatenate([v, u])[both].astype(np.intc).tobytes())
+    del both, ends
+    order = np.argsort(d, kind="stable")
+    u, v, d = u[order], v[order], d[order]
+    up, made = array("i", range(n)), n
+    common: dict[int, array] = {}  # of clusters of two and more: nodes that all members are near to, in order
+    members: dict[int, array] = {}
+    count: dict[int, dict[int, int]] = {}  # edges so far between clusters that may become complete
+    out = []
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def own(a: int) -> array:
+        return members.get(a) or array("i", [a])
+
+    def near(a: int, x: int) -> bool:
+        where, lo, hi = (common[a], 0, len(common[a])) if a >= n else (around, begin[a], begin[a + 1])
+        i = bisect_left(where, x, lo, hi)
+        return i < hi and where[i] == x
+
+    def may(a: int, b: int) -> bool:
+        if len(own(a)) < len(own(b)):
+            a, b = b, a
+        return all(near(a, x) for x in own(b))
+
+    def add(a: int, b: int, k: int) -> None:
+        one, two = count.setdefault(a, {}), count.setdefault(b, {})
+        one[b] = two[a] = k = one.get(b, 0) + k
+        if k == len(own(a)) * len(own(b)):
+            heapq.heappush(ready, (min(a, b), max(a, b)))
+
+    step = 1 << 16
+    ready: list[tuple[int, int]] = []
+    at = 0
+    while at < len(d):
+        end = int(np.searchsorted(d, d[min(at + step, len(d)) - 1], "right"))  # whole groups of equal distances
+        rows = zip(u[at:end].tolist(), v[at:end].tolist(), d[at:end].tolist(), [*(d[at + 1 : end] != d[at : end - 1]).tolist(), True])
+        for x, y, w, last in rows:
+            a, b = find(x), find(y)
+            if b in count.get(a, ()) or may(a, b):
+                add(a, b, 1)
+            while last and ready:
+                a, b = heapq.heappop(ready)
+                if up[a] != a or up[b] != b:
+                    continue
+                c, made = made, made + 1
+                up.append(c)
+                up[a] = up[b] = c
+                few, many = sorted((a, b), key=lambda i: len(common[i]) if i >= n else begin[i + 1] - begin[i])
+                common[c] = array("i", [i for i in (common[few] if few >= n else around[begin[few] : begin[few + 1]]) if near(many, i)])
+                members[c] = own(a) + own(b)
+                left = count.pop(a)
+                for i, k in count.pop(b).items():
+                    left[i] = left.get(i, 0) + k
+                for gone in (a, b):
+                    left.pop(gone, None)
+                    common.pop(gone, None)
+                    members.pop(gone, None)
+                for i, k in left.items():
+                    count[i].pop(a, None)
+                    count[i].pop(b, None)
+                    if may(c, i):
+                        add(c, i, k)
+                count.setdefault(c, {})
+                out.append((a, b, c, w))
+        at = end
+    return out
+
+
 def merge_history(n: int, edges: list[tuple[int, int, float]], cut: float) -> list[tuple[int, int, int, float]]:
     """Merges ``(a, b, new, distance)`` in order. Nodes are 0..n-1, edges ``(u, v, distance)``; a missing edge is too far.
 
-    Of equal distances the pair with the lower, then the higher number merges first, and the older state before that.
+    Of equal distances the pair with the lower, then the higher number merges first.
     """
-    near: dict[int, dict[int, float]] = {i: {} for i in range(n)}
-    heap: list[tuple[float, int, int, int]] = []
-    for k, (u, v, d) in enumerate(edges):
-        if d <= cut + EPS:
-            near[u][v] = near[v][u] = d
-            heap.append((d, min(u, v), max(u, v), k))
-    heapq.heapify(heap)
-    made, tick, out = n, len(edges), []
-    while heap:
-        d, a, b, _ = heapq.heappop(heap)
-        if a not in near or b not in near or near[a].get(b) != d:
-            continue
-        one, two = near.pop(a), near.pop(b)
-        if len(one) > len(two):
-            one, two = two, one
-        fresh = {x: max(e, two[x]) for x, e in one.items() if x in two}
-        for x in {*one, *two} - {a, b}:
-            near[x].pop(a, None)
-            near[x].pop(b, None)
-        near[made] = fresh
-        for x in sorted(fresh):
-            near[x][made] = fresh[x]
-            heapq.heappush(heap, (fresh[x], x, made, tick))
-            tick += 1
-        out.append((a, b, made, d))
-        made += 1
-    return out
+    kept = {(min(u, v), max(u, v)): d for u, v, d in edges if d <= cut + EPS}
+    u, v = (np.array([x[i] for x in kept], np.int32) for i in (0, 1))
+    return _merges(n, u, v, np.array(list(kept.values()), float))
 
 
 def cut_history(n: int, history: list[tuple[int, int, int, float]], cut: float) -> list[list[int]]:
@@ -59,12 +122,36 @@ def cut_history(n: int, history: list[tuple[int, int, int, float]], cut: float)
     return sorted(sorted(g) for g in groups.values())
 
 
-def _history_of(pdf: pd.DataFrame, cut: float) -> tuple[list[str], list[tuple[int, int, int, float]]]:
-    names = sorted({*pdf["u"], *pdf["v"]})
-    at = {x: i for i, x in enumerate(names)}
-    # States are numbered in the order of their pairs, whatever order the rows come in.
-    edges = sorted((at[u], at[v], 1.0 - w) for u, v, w in zip(pdf["u"], pdf["v"], pdf["w"]))
-    return names, merge_history(len(names), edges, cut)
+def _runs(t: pa.Table, limits: np.ndarray) -> pa.Table:
+    """``node, cluster, lo, hi``: the cluster of a node at limits[lo:hi], distances in rising order; edges are ``u, v, w``.
+
+    All components of a task are one graph, as they do not touch; a node's runs cover the limits without a gap.
+    """
+    ends = pa.chunked_array([*t["u"].chunks, *t["v"].chunks], pa.string())
+    names = np.array(pc.unique(ends).to_pylist(), object)
+    names.sort()  # by code points, as Spark's order of bytes
+    found, n = pa.array(names, pa.string()), len(names)
+    u, v = (pc.index_in(t[c], found).to_numpy().astype(np.int32) for c in ("u", "v"))
+    history = _merges(n, u, v, 1.0 - t["w"].to_numpy())
+    left = np.searchsorted(limits, [d for *_, d in history])  # the first limit that a merge is within
+    parts: dict[int, tuple[array, int]] = {}
+    node, cluster, lo, hi = (array("i") for _ in range(4))
+
+    def close(x: int, end: int) -> array:
+        ids, begin = parts.pop(x, None) or (array("i", [x]), 0)
+        if begin < end:
+            node.extend(ids)
+            for to, value in ((cluster, min(ids)), (lo, begin), (hi, end)):
+                to.extend(array("i", [value]) * len(ids))
+        return ids
+
+    for (a, b, c, _), i in zip(history, left.tolist()):
+        parts[c] = (close(a, i) + close(b, i), i)
+    alive = {*range(n)} - {x for a, b, *_ in history for x in (a, b)}
+    for x in [*alive, *parts]:
+        close(x, len(limits))
+    take = lambda x: found.take(pa.array(np.frombuffer(x, np.intc)))
+    return pa.table({"node": take(node), "cluster": take(cluster), "lo": pa.array(np.frombuffer(lo, np.intc)), "hi": pa.array(np.frombuffer(hi, np.intc))})
 
 
 def _by_component(edges: DataFrame, run, schema: str) -> DataFrame:
@@ -79,35 +166,27 @@ def _by_component(edges: DataFrame, run, schema: str) -> DataFrame:
 
 def complete_linkage(nodes: DataFrame, edges: DataFrame, theta: float, node: str = "node") -> DataFrame:
     """``node, cluster``: cluster is its least node. A component is one group; its kept edges must fit one task."""
-    ship(nodes.sparkSession)
-    kept = threshold_edges(edges, theta)
-    comp = components(nodes, kept, node)
-    own = kept.join(comp.select(F.col(node).alias("u"), "component"), "u").select("component", "u", "v", "w")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, history = _history_of(pdf, 1.0 - theta)
-        return pd.DataFrame([(names[i], names[g[0]]) for g in cut_history(len(names), history, 1.0 - theta) for i in g], columns=["node", "cluster"])
-
-    linked = _by_component(own, link, "node string, cluster string")
-    return nodes.select(F.col(node).alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
+    return linkage_at(nodes, edges, [theta], node).select("node", "cluster")
 
 
 def linkage_at(nodes: DataFrame, edges: DataFrame, thetas: list[float], node: str = "node") -> DataFrame:
-    """``theta, node, cluster`` for many thresholds from one merge history for each component."""
+    """``theta, node, cluster`` for many thresholds from one merge history for each component.
+
+    What leaves a task are a node's runs of thresholds in the same cluster; a row for each threshold is made from them after
+    the join with the nodes.
+    """
     ship(nodes.sparkSession)
-    low = min(thetas)
-    kept = threshold_edges(edges, low)
+    falling = sorted(set(thetas), reverse=True)
+    limits = np.array([1.0 - t + EPS for t in falling])
+    kept = threshold_edges(edges, falling[-1])
     comp = components(nodes, kept, node)
-    own = kept.join(comp.select(F.col(node).alias("u"), "component"), "u").select("component", "u", "v", "w")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, history = _history_of(pdf, 1.0 - low)
-        rows = [(t, names[i], names[g[0]]) for t in thetas for g in cut_history(len(names), history, 1.0 - t) for i in g]
-        return pd.DataFrame(rows, columns=["theta", "node", "cluster"])
-
-    linked = _by_component(own, link, "theta double, node string, cluster string")
-    grid = nodes.select(F.col(node).alias("node")).distinct().withColumn("theta", F.explode(F.array(*map(F.lit, thetas))))
-    return grid.join(linked, ["theta", "node"], "left").select("theta", "node", F.coalesce("cluster", "node").alias("cluster"))
+    task = F.pmod(F.xxhash64("component"), F.lit(4 * shuffle_partitions(edges.sparkSession))).alias("_task")
+    own = kept.join(comp.select(F.col(node).alias("u"), "component"), "u").select(task, F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"), "w")
+    runs = own.groupBy("_task").applyInArrow(lambda t: _runs(t, limits), "node string, cluster string, lo int, hi int")
+    all_of = nodes.select(F.col(node).alias("node")).distinct().join(runs, "node", "left")
+    lo, hi = F.coalesce("lo", F.lit(0)), F.coalesce("hi", F.lit(len(falling)))
+    at = F.explode(F.slice(F.array(*map(F.lit, falling)), lo + 1, hi - lo))
+    return all_of.select(at.alias("theta"), "node", F.coalesce("cluster", "node").alias("cluster"))
 
 
 def clique_violations(clusters: DataFrame, edges: DataFrame, theta: float) -> DataFrame:
